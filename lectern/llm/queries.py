@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "arrow_files")
+MODULES = ("packing", "arrow_files", "pieces", "transport")
 
 
 def queries() -> dict:
