@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "arrow_files", "pieces", "transport")
+MODULES = ("packing", "arrow_files", "pieces", "transport", "licenses", "pseudonyms")
 
 
 def queries() -> dict:
