@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "pages", "pieces", "pseudonyms", "transport", "arrow_files", "packing")
+MODULES = ("languages", "licenses", "pages", "pieces", "pseudonyms", "transport", "arrow_files", "packing")
 
 
 def queries() -> dict:
