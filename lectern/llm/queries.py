@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("languages", "licenses", "neighbours", "pages", "pieces", "pseudonyms", "transport", "arrow_files", "packing")
+MODULES = ("joins", "languages", "licenses", "neighbours", "pages", "pieces", "pseudonyms", "transport", "arrow_files", "packing")
 
 
 def queries() -> dict:
