@@ -261,6 +261,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.union(joined.where("size = 0").select("doc_id", "size", "doc_id"))
 
 
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows, with all their columns, without those that links connect to a row of a smaller id. Rows of one id, and
+    rows without id, stay together."""
+    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, n=n, num=num, den=den)
+    gone = written(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90)
 

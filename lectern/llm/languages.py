@@ -255,6 +255,20 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "d
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_predicted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text has a language of at least this score; the rest is rejected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model.key not in _scorers:
+            _scorers.clear()
+            _scorers[model.key] = Scorer(model)
+        for part in slices(batches, text_col):
+            found = _scorers[model.key].predict(part.column(text_col).to_pylist())
+            yield part.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from the fit."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -234,6 +234,18 @@ def with_pseudonyms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, spans array<struct<kind: string, start: long, length: long>>")
 
 
+def replace_texts(docs: DataFrame, *, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+    """The rows, with all their columns, and pseudonyms in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        permutation = Permutation(key)
+        for part in slices(batches, text_col):
+            texts = pa.array([pseudonymise(t, permutation)[0] for t in part.column(text_col).to_pylist()], pa.string())
+            yield part.set_column(part.schema.get_field_index(text_col), text_col, texts)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s.kind))), ",")

@@ -114,14 +114,12 @@ BAND = 1.4
 def schemes(threshold: Threshold, largest: int) -> list[Scheme]:
     found, low = [], 1
     while low <= largest:
-        high = max(low, int(low * BAND))
+        high = max(low, int(low * max(BAND, threshold.den / threshold.num)) + 1)  # partners lie in the band or the one below
         apart = threshold.most_apart(2 * high)
         if high <= DELETION_SIZE:
             found.append(Scheme(low, high, apart, (apart + 2) // 2, (apart + 1) // 2))
         else:
             found.append(Scheme(low, high, apart, 2 * (apart + 1), 0))
-        if len(found) > 1 and threshold.least_partner(low) < found[-2].low:
-            raise ValueError("the bands are too narrow for this threshold")
         low = high + 1
     return found
 
