@@ -1 +1 @@
-"""functions"""
+"""Column functions: text cleaning, words for numbers, readings of written forms."""
