@@ -24,8 +24,20 @@ def _div(n: Column, by: int) -> Column:
     return F.floor(n / by).cast("long")
 
 
+#: Names of 0 to 99, and of the days of a month, by the rules above.
+HUNDRED = [ONES[i] if i < 20 else TENS[i // 10] + (f"-{ONES[i % 10]}" if i % 10 else "") for i in range(100)]
+
+
+def _day_name(n: int) -> str:
+    head, dash, last = HUNDRED[n].rpartition("-")
+    return head + dash + IRREGULAR.get(last, last.removesuffix("y") + ("ieth" if last.endswith("y") else "th"))
+
+
+DAYS = [_day_name(i) for i in range(32)]
+
+
 def below_hundred(n: Column) -> Column:
-    return F.when(n < 20, _pick(ONES, F.least(n, F.lit(19)))).otherwise(F.concat(_pick(TENS, _div(n, 10)), F.when(n % 10 > 0, F.concat(F.lit("-"), _pick(ONES, n % 10))).otherwise("")))
+    return _pick(HUNDRED, n)
 
 
 def below_thousand(n: Column) -> Column:
@@ -38,26 +50,35 @@ def cardinal(n: Column) -> Column:
     "and", any other group by a comma."""
     size, n = n, F.abs(n)
     groups = [F.when(_div(n, scale) % 1000 > 0, F.concat(below_thousand(_div(n, scale) % 1000), F.lit(f" {name}"))) for scale, name in SCALES]
-    large = F.concat_ws(", ", *groups)
     rest = n % 1000
-    joined = F.when(large == "", below_thousand(rest)).when(rest == 0, large).otherwise(F.concat(large, F.when(rest < 100, F.lit(" and ")).otherwise(F.lit(", ")), below_thousand(rest)))
-    return F.concat(F.when(size < 0, F.lit("minus ")).otherwise(""), joined)
+    joint = F.when((n < 1000) | (rest == 0), F.lit("")).when(rest < 100, F.lit(" and ")).otherwise(F.lit(", "))
+    last = F.when((rest > 0) | (n < 1000), below_thousand(rest)).otherwise("")
+    return F.concat(F.when(size < 0, F.lit("minus ")).otherwise(""), F.concat_ws(", ", *groups), joint, last)
 
 
 def ordinal(n: Column) -> Column:
     """The cardinal with its last word made ordinal."""
-    text = cardinal(n)
-    head, last = F.regexp_extract(text, r"^(.*[ -])?([a-z]+)$", 1), F.regexp_extract(text, r"([a-z]+)$", 1)
-    regular = F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", ""), F.lit("ieth"))).otherwise(F.concat(last, F.lit("th")))
-    irregular = reduce(lambda c, kv: c.when(last == kv[0], F.lit(kv[1])), IRREGULAR.items(), F.when(F.lit(False), F.lit("")))
-    return F.concat(head, F.coalesce(irregular, regular))
+    marked = F.concat(cardinal(n), F.lit("#"))
+    for word, by in (*IRREGULAR.items(), ("", "")):
+        marked = F.regexp_replace(marked, rf"\b{word}#", by) if word else F.regexp_replace(F.regexp_replace(marked, "y#", "ieth"), "#", "th")
+    return marked
 
 
 def year(n: Column) -> Column:
     """1905 as nineteen oh-five, 2000 as two thousand, 1900 as nineteen hundred."""
     high, low = _div(n, 100), n % 100
     tail = F.when(low == 0, F.lit("hundred")).when(low < 10, F.concat(F.lit("oh-"), below_hundred(low))).otherwise(below_hundred(low))
-    return F.when((high == 0) | ((high % 10 == 0) & (low < 10)) | (high >= 100), cardinal(n)).otherwise(F.concat(below_hundred(high % 100), F.lit(" "), tail))
+    thousand = F.concat(_pick(ONES, _div(n, 1000) % 10), F.lit(" thousand"), F.when(low > 0, F.concat(F.lit(" and "), below_hundred(low))).otherwise(""))
+    round_ = (high % 10 == 0) & (low < 10)
+    return F.when((n < 100) | (n >= 10_000), cardinal(n)).when(round_, thousand).otherwise(F.concat(below_hundred(high % 100), F.lit(" "), tail))
+
+
+def year_of_date(n: Column) -> Column:
+    """year() of 1000 to 9999, which needs no cardinals."""
+    high, low = _div(n, 100), n % 100
+    tail = F.when(low == 0, F.lit("hundred")).when(low < 10, F.concat(F.lit("oh-"), below_hundred(low))).otherwise(below_hundred(low))
+    thousand = F.concat(_pick(ONES, _div(n, 1000) % 10), F.lit(" thousand"), F.when(low > 0, F.concat(F.lit(" and "), below_hundred(low))).otherwise(""))
+    return F.when((high % 10 == 0) & (low < 10), thousand).otherwise(F.concat(below_hundred(high % 100), F.lit(" "), tail))
 
 
 def spoken(words: Column) -> Column:
@@ -109,13 +130,15 @@ def clock(hour: Column, minute: Column) -> Column:
 
 
 def numeric_date(first: Column, second: Column, year_: Column, british: bool) -> Column:
-    """D/M/Y or M/D/Y in words: a part over 12 is the day, else the voice decides; null where no order is a date."""
-    days = F.element_at(F.array(*map(F.lit, (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), F.greatest(F.lit(1), F.least(F.lit(12), second)))
-    us_days = F.element_at(F.array(*map(F.lit, (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), F.greatest(F.lit(1), F.least(F.lit(12), first)))
-    name = lambda m: _pick(["", *MONTHS], F.greatest(F.lit(1), F.least(F.lit(12), m)))
-    day_first = F.when((second >= 1) & (second <= 12) & (first >= 1) & (first <= days), F.concat_ws(" ", F.lit("the"), ordinal(first), F.lit("of"), F.concat(name(second), F.lit(","), F.lit(" "), year(year_))))
-    month_first = F.when((first >= 1) & (first <= 12) & (second >= 1) & (second <= us_days), F.concat(name(first), F.lit(" "), ordinal(second), F.lit(", "), year(year_)))
-    return F.when(first > 12, day_first).when(second > 12, month_first).otherwise(day_first if british else month_first)
+    """D/M/Y or M/D/Y of years 1000 to 9999 in words: a part over 12 is the day, else the voice decides; null where the
+    day is none of the month's (29 February always is one)."""
+    day_first = (first > 12) | (F.lit(british) & (second <= 12))
+    day, month = F.when(day_first, first).otherwise(second), F.when(day_first, second).otherwise(first)
+    within = lambda x, top: F.greatest(F.lit(1), F.least(F.lit(top), x))
+    longest = F.element_at(F.array(*map(F.lit, (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), within(month, 12))
+    name, ordinal_, of = _pick(["", *MONTHS], within(month, 12)), _pick(DAYS, within(day, 31)), year_of_date(year_)
+    words = F.concat(F.lit("the "), ordinal_, F.lit(" of "), name, F.lit(", "), of) if british else F.concat(name, F.lit(" "), ordinal_, F.lit(", "), of)
+    return F.when(month.between(1, 12) & (day >= 1) & (day <= longest), words)
 
 
 def roman(n: Column) -> Column:

@@ -1 +1 @@
-"""operators"""
+"""Operators on DataFrames: names analytics, dictionaries, blocks of pages, pauses, normalisation, pronunciation."""
