@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("texts", "readings", "naming", "dictionaries", "rules")
+MODULES: tuple[str, ...] = ("texts", "readings", "naming", "dictionaries", "rules", "blocks", "streams")
 
 
 def queries() -> dict:
