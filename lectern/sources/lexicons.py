@@ -17,7 +17,9 @@ def read_lexicons(spark: SparkSession, folder: str, user_folder: str | None = No
         if at is None:
             continue
         files = spark.read.text(at, wholetext=True, pathGlobFilter="*.json").select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("file"))
-        lists = F.coalesce(*(F.from_json("value", s)[k] if k else F.from_json("value", s) for s, k in ((f"array<struct<{_typed()}>>", None), (f"struct<entries: array<struct<{_typed()}>>>", "entries"), (f"struct<words: array<struct<{_typed()}>>>", "words"))))
+        entries = f"array<struct<{_typed()}>>"
+        wrapped = F.from_json("value", f"struct<entries: {entries}, words: {entries}>")
+        lists = F.when(F.regexp_replace("value", r"^\s+", "").startswith("["), F.from_json("value", entries)).otherwise(F.coalesce(wrapped["entries"], wrapped["words"]))
         pack = F.lit("user") if place else F.regexp_replace("file", "-lexicon$", "")
         rows = files.where("file <> 'heteronyms'").select(pack.alias("pack"), "file", F.posexplode_outer(lists).alias("pos", "e")).withColumn("place", F.lit(place))
         found = rows if found is None else found.unionByName(rows)
