@@ -44,8 +44,9 @@ class ShardWriter:
     def add(self, ids: np.ndarray) -> None:
         self.waiting.append(ids.astype(self.dtype))
         self.n_waiting += len(ids)
-        if self.n_waiting >= self.length * BATCH_ROWS:
-            self._flush(self.n_waiting // self.length * self.length)
+        whole = self.length * BATCH_ROWS  # all batches but the last have equally many rows
+        if self.n_waiting >= whole:
+            self._flush(self.n_waiting // whole * whole)
 
     def _flush(self, n: int) -> None:
         ids = np.concatenate(self.waiting)
@@ -95,6 +96,8 @@ class ShardReader:
         size, out = self.length * BATCH_ROWS, []
         while n > 0:
             part = self.batch(start // size)[start % size : start % size + n]
+            if not len(part):
+                raise ValueError(f"{self.path} ends before id {start}")
             out.append(part)
             start, n = start + len(part), n - len(part)
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint32)
