@@ -181,6 +181,8 @@ class Scorer:
 
     def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         """(language, its probability among the languages); (und, 0) without a letter."""
+        if not self.model.languages:
+            return [("und", 0.0)] * len(texts)
         if len(self.row) > CACHE_WORDS:
             self.forget()
         lists = [t.split() if t else [] for t in texts]
@@ -197,7 +199,7 @@ class Scorer:
             self.logs = np.concatenate([self.logs, rows])
         out = []
         for text, words in zip(texts, lists, strict=True):
-            if not self.model.languages or not text or not _LETTERS.search(text):
+            if not text or not _LETTERS.search(text):
                 out.append(("und", 0.0))
                 continue
             total = self.logs[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(0)
