@@ -98,6 +98,11 @@ class Rule:
     pattern: re.Pattern
     read: Reader
 
+    @property
+    def needs_digit(self) -> bool:
+        """Whether the pattern has a digit that is not one of several choices."""
+        return r"\d" in self.pattern.pattern and r"|\d)" not in self.pattern.pattern
+
 
 RULES: list[Rule] = []
 
@@ -533,8 +538,13 @@ def normalise(text: str | None, accent: str = "us") -> str | None:
     return "".join([*parts, _apply(text[at:], accent)])
 
 
+_DIGIT = re.compile(r"\d")
+#: The rules that a text without a digit can need.
+_WITHOUT_DIGIT = [r for r in RULES if not r.needs_digit]
+
+
 def _apply(text: str, accent: str) -> str:
-    for r in RULES:
+    for r in RULES if _DIGIT.search(text) else _WITHOUT_DIGIT:
         if r.pattern.search(text):
             source = text
             text = r.pattern.sub(lambda m, source=source, r=r: m[0] if (out := r.read(m, source, accent)) is None else out, source)
