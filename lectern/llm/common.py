@@ -60,13 +60,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each part has at most SLICE_ROWS rows and, past one row, SLICE_BYTES of text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each part has at most SLICE_ROWS rows and, past one row, most_bytes of text."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         begin = total = 0
         for i, n in enumerate(sizes):
-            if i > begin and (i - begin >= SLICE_ROWS or total + n > SLICE_BYTES):
+            if i > begin and (i - begin >= SLICE_ROWS or total + n > most_bytes):
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
             total += n

@@ -29,9 +29,11 @@ from .shingles import Threshold, mix, set_hashes, shingle_sets, signatures
 SKETCH_BITS = 1024
 #: A signature counts as hot from so many sets on; a task reports at most HOT_REPORTED of those it has LOCAL_HOT times
 #: among HOT_BATCH, and so many of the most frequent ones go to the workers. It steers costs only, never results.
-HOT, LOCAL_HOT, HOT_REPORTED, HOT_BATCH, HOT_KEPT = 48, 4, 2_048, 2_000_000, 16_384
+HOT, LOCAL_HOT, HOT_REPORTED, HOT_BATCH, HOT_KEPT = 48, 4, 2_048, 1_000_000, 16_384
 #: Nodes in a tile of a signature that many nodes share.
 TILE = 512
+#: Bytes of text that are hashed together.
+SLICE = 1 << 20
 #: Documents whose ids may be sent to every executor (8 bytes each) to fetch their texts; beyond it both are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -65,7 +67,7 @@ def describe(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
             columns = [none, none, none, none, values[top].view(np.int64), counts[top]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for part in slices(batches):
+        for part in slices(batches, most_bytes=SLICE):
             hashes, sizes = shingle_sets(part.column("text").to_pylist(), n)
             nodes = set_hashes(hashes, sizes)
             columns = [part.column("doc_id"), pa.array(sizes), pa.array(nodes.view(np.int64)), _binaries(_sketches(hashes, sizes)), pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())]
@@ -95,7 +97,7 @@ def index(docs: DataFrame, n: int, threshold: Threshold, hot: tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in slices(batches):
+        for part in slices(batches, most_bytes=SLICE):
             hashes, sizes = shingle_sets(part.column("text").to_pylist(), n)
             hashes, sizes, nodes = _unseen(hashes, sizes, set_hashes(hashes, sizes), seen)
             rows, found, deleted = signatures(hashes, sizes, threshold, hot)
@@ -169,7 +171,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     found = docs.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most_bytes=SLICE):
             hashes, sizes = shingle_sets(part.column("text").to_pylist(), n)
             same = set_hashes(hashes, sizes).view(np.int64) == part.column("node").to_numpy()  # of rows with equal ids, the node's
             cuts = np.append(0, np.cumsum(sizes))
@@ -244,8 +246,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     star_links = verified(written(near(stars), "near"))
     reached = connected_components(star_links)
 
+    # every pair with a signature's least node has been compared, so only the other nodes are left
     component = F.coalesce("component", "node").alias("component")
-    placed = posted.select("signature", "node", "deleted").join(reached, "node", "left").select("signature", "node", "deleted", component)
+    placed = posted.where("node <> least").select("signature", "node", "deleted")
+    several = placed.select("*", F.min("node").over(by).alias("low"), F.max("node").over(by).alias("high")).where("low <> high").select("signature", "node", "deleted")
+    placed = several.join(reached, "node", "left").select("signature", "node", "deleted", component)
     across = placed.select("*", F.min("component").over(by).alias("low"), F.max("component").over(by).alias("high"), F.count("*").over(by).alias("members")).where("low <> high")
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     own_tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
