@@ -234,8 +234,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 fine = _possible(a, b, _apart(batch.column("a_sketch"), batch.column("b_sketch")), threshold)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fine))
 
-        side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+        # sizes alone rule out most pairs, before any sketch is shuffled
+        side = lambda c, *more: nodes.select(F.col("node").alias(c), *(F.col(m).alias(f"{c}_{m}") for m in more))
+        alike = den * F.least("a_size", "b_size") >= num * F.greatest("a_size", "b_size")
+        sized = pairs.join(side("a", "size"), "a").join(side("b", "size", "sketch"), "b").where(alike)
+        return sized.join(side("a", "sketch"), "a").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -91,8 +91,8 @@ class Scheme:
     """How sets of a band of sizes, low..high, and their smaller partners are indexed.
 
     The universe of shingles is dealt by hash to `segments`. At most `apart` shingles differ between linked sets, so by the
-    pigeonhole principle either one of apart + 1 segments is equal (all bands above DELETION_SIZE: of twice as many
-    segments each set takes the apart + 1 cheapest), or, where `deletions` segments are also compared after the deletion
+    pigeonhole principle either one of apart + 1 segments is equal (all bands above DELETION_SIZE: of half as many
+    segments again each set takes as many of the cheapest as can differ from its partners, and one more), or, where `deletions` segments are also compared after the deletion
     of one shingle, which covers two differences in one segment, half as many segments do.
     """
 
@@ -107,7 +107,7 @@ class Scheme:
 #: signature for each shingle, and tiny or empty segments are shared by unlike sets.
 DELETION_SIZE = 48
 #: Ratio of the sizes in a band. Wider bands index fewer sets twice, narrower ones need fewer segments.
-BAND = 1.4
+BAND = 2.0
 
 
 @cache
@@ -119,7 +119,7 @@ def schemes(threshold: Threshold, largest: int) -> list[Scheme]:
         if high <= DELETION_SIZE:
             found.append(Scheme(low, high, apart, (apart + 2) // 2, (apart + 1) // 2))
         else:
-            found.append(Scheme(low, high, apart, 2 * (apart + 1), 0))
+            found.append(Scheme(low, high, apart, 3 * (apart + 1) // 2, 0))
         low = high + 1
     return found
 
@@ -174,9 +174,14 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, threshold: Threshold, hot:
             empty = np.ones(len(cells), bool)
             empty[at] = False
             cost = np.where(empty, np.iinfo(np.int64).max, cost)
-            order = np.lexsort((sig, cost, rows))
+            filled = np.zeros(len(cells), np.int64)
+            filled[at] = np.diff(np.append(begins, len(cell)))
+            order = np.lexsort((sig, -filled, cost, rows))  # of equally rare ones those with more shingles
             nth = np.arange(len(order)) % scheme.segments
-            chosen = order[nth <= scheme.apart]
+            # a set's partners in this band are no larger than `high`, nor than the threshold allows
+            partner = np.minimum(scheme.high, sizes[rows[order]] * threshold.den // threshold.num)
+            apart = (threshold.den - threshold.num) * (sizes[rows[order]] + partner) // (threshold.den + threshold.num)
+            chosen = order[nth <= apart]
             rows, sig = rows[chosen], sig[chosen]
         rows_out.append(rows)
         sig_out.append(sig)
