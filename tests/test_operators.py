@@ -1,6 +1,7 @@
 """Operators on small cases of their own."""
 
 import json
+import re
 import zipfile
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import names, normalize, speech, structure
+from lectern.plans import rules
 from lectern.sources import lexicons, registers, workbooks
 from lectern.streaming import sessions
 
@@ -138,3 +140,19 @@ def test_workbook(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>Name</t></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2"><v>5</v></c></row></sheetData></worksheet>')
     assert [(r["sheet"], r["row"], r["cells"]) for r in workbooks.read_workbooks(spark, str(tmp_path)).collect()] == [("S", 2, ["Name", None, "5"])]
+
+
+def test_digit_shortcut_changes_no_result():
+    cases = [t for t, _, _ in rules.CASES] + ["He lives in Boston, MA with us", "Boston, MA 02134", "Austin, TX"]
+    for text in {c for t in cases for c in (re.sub(r"\d", "", t), re.sub(r"\d+ ?", "", t), re.sub(r"\d", "x", t))}:
+        whole = text
+        for r in normalize.RULES:
+            source = whole
+            whole = r.pattern.sub(lambda m, r=r, source=source: m[0] if (out := r.read(m, source, "us")) is None else out, source)
+        assert normalize._apply(text, "us") == whole
+    assert normalize.normalise("He lives in Boston, MA with us") == "He lives in Boston, Massachusetts with us"
+
+
+def test_rules_that_need_a_digit_have_one():
+    assert normalize.NEED_DIGIT <= {r.name for r in normalize.RULES}
+    assert not any(r.needs_digit for r in normalize.RULES if "\\d" not in r.pattern.pattern)
