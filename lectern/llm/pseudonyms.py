@@ -180,10 +180,12 @@ def _token(text, move):
 
 
 _B, _E = r"(?<![\w@])", r"(?![\w@])"
+#: The words before a token, whose value may be letters only.
+_TOKEN_WORDS = r"(?i:token|secret|passw(?:or)?d|credential|api[_ -]?key)"
 #: The kinds, in the order in which a place is tried: name, pattern (its group 1 is the value), reader, a character it needs.
 KINDS = (
     ("mail", re.compile(r"([^\W_][\w.+%-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[A-Za-z]{2,24})(?![\w@])"), _mail, "@"),
-    ("token", re.compile(r"(?i:token|secret|passw(?:or)?d|credential|api[_ -]?key)[^\w\n]{0,12}[=:][^\w\n]{0,12}([0-9A-Za-z][0-9A-Za-z+/_-]{14,})"), _token, ""),
+    ("token", re.compile(_TOKEN_WORDS + r"[^\w\n]{0,12}[=:][^\w\n]{0,12}([0-9A-Za-z][0-9A-Za-z+/_-]{14,})"), _token, ""),
     ("host", re.compile(_B + r"(?<!\d\.)(\d{1,3}(?:\.\d{1,3}){3})(?!\.\d)" + _E), _host, "."),
     ("date", re.compile(_B + r"(\d{4}([-/])\d{2}\2\d{2})" + _E), _iso_date, ""),
     ("date", re.compile(_B + r"(\d{1,2}([./])\d{1,2}\2\d{4})" + _E), _slash_date, ""),
@@ -193,12 +195,12 @@ KINDS = (
     ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}(?:[^\w\n@+]{0,6}\d{1,5}){2,6})" + _E), _phone, "+"),
     ("phone", re.compile(_B + r"(\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4})" + _E), _phone, ""),
 )
-_DIGIT = re.compile(r"\d")
+_DIGIT, _TOKEN_WORD = re.compile(r"\d"), re.compile(_TOKEN_WORDS)
 
 
 def pseudonymise(text: str | None, permutation: Permutation) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, length) of each value in the given text, in order of place."""
-    if not text or "@" not in text and not _DIGIT.search(text):
+    if not text or "@" not in text and not _DIGIT.search(text) and not _TOKEN_WORD.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern, reader, need in KINDS:

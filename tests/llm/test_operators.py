@@ -243,6 +243,14 @@ def test_pseudonyms_leave_alone(text):
     assert pseudonyms.pseudonymise(text, pseudonyms.Permutation(b"k")) == (text, [])
 
 
+@pytest.mark.parametrize("word", ["password", "Passwd", "API-key", "api key", "Secret", "token", "CREDENTIAL"])
+def test_secrets_of_letters_need_no_digit(word):
+    p, secret = pseudonyms.Permutation(b"k"), "correcthorsebatterystaple"
+    out, spans = pseudonyms.pseudonymise(f"{word}: {secret}", p)
+    assert spans == [("token", len(word) + 2, len(secret))] and secret not in out
+    assert out + " 7" == pseudonyms.pseudonymise(f"{word}: {secret} 7", p)[0]
+
+
 def test_pseudonym_rows(odd, none):
     rows = pseudonyms.with_pseudonyms(odd).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted((i or 0, t or "") for i, t in ODD)
