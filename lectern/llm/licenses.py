@@ -86,11 +86,13 @@ class NoticeSearch:
                     begin = at - offset - edits - 1
                     windows.append((max(0, begin), begin + len(body) + 2 * edits + 2))
                     at = line.find(piece, at + 1)
-            end = 0
-            for begin, stop in _joined(sorted(windows)):
-                for m in pattern.finditer(line, max(begin, end), stop):
+            # The best match of a part comes first; worse ones may stand before and after it.
+            parts = list(_joined(sorted(windows)))
+            while parts:
+                begin, stop = parts.pop()
+                if m := pattern.search(line, begin, stop):
+                    parts += [(begin, m.start()), (m.end(), stop)]
                     n = sum(m.fuzzy_counts)
-                    end = m.end()
                     found.append(Span(line.count(b" ", 0, m.start()) - 1, m.group().count(b" ") + 1, label, n, 1 - n / len(body), False))
         return found
 

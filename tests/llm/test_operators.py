@@ -208,6 +208,24 @@ def test_fuzzy_notices_are_found():
             assert min(s.edits for s in spans) <= distance("".join(changed), text)
 
 
+def test_worse_notices_beside_a_better_one_are_found():
+    search, rng = licenses.NoticeSearch(), random.Random(5)
+    found = [(s.first, s.edits) for s in search.spans(search.words("mit licence mit license")) if not s.base]
+    assert sorted(found) == [(0, 1), (2, 0)]
+    for text, label, most in licenses.NOTICES:
+        for _ in range(5):
+            words, planted = [], []
+            for edits in rng.sample(range(most + 1), min(3, most + 1)):
+                changed = list(text)
+                for at in rng.sample([i for i, c in enumerate(text) if c != " "][1:-1], edits):
+                    changed[at] = "q"
+                planted.append((len(words), edits))
+                words += "".join(changed).split() + ["x"] * rng.randint(0, 2)
+            spans = [s for s in search.spans(search.words(" ".join(words))) if s.label == label and not s.base]
+            for first, edits in planted:
+                assert any(s.edits <= edits and s.first < first + len(text.split()) and first < s.first + s.words for s in spans), (words, first)
+
+
 def test_license_odd_rows(odd, none):
     rows = licenses.find_notices(odd).collect()
     assert len(rows) == len(ODD)
