@@ -55,6 +55,11 @@ def stammers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", S.tidied(text).alias("tidied"))
 
 
+def stammers_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole text of every turn without its own stammers. No SQL: it has no back references."""
+    return table(spark, folder, "conversations").select("conv_id", "turn", S.tidied(F.col("text")).alias("tidied"))
+
+
 #: A small dictionary and a fallback. word, phonemes.
 GOLD = [("cat", "kˈæt"), ("dog", "dˈɔɡ"), ("bus", "bˈʌs"), ("want", "wˈɑnt"), ("walk", "wˈɔk"), ("play", "plˈA"), ("the", "ðə")]
 FALLBACK = [("zebra", "zˈibɹə"), ("cats", "WRONG")]
@@ -89,7 +94,7 @@ def heteronym_pins(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (html_blocks, html_headings, markdown_blocks, plain_blocks, voice_chunks, faithful_pairs, stammers, pronunciations, stress_levels, vowel_ahead, heteronym_pins)
+    for f in (html_blocks, html_headings, markdown_blocks, plain_blocks, voice_chunks, faithful_pairs, stammers, stammers_turns, pronunciations, stress_levels, vowel_ahead, heteronym_pins)
 }
 
 from .texts import _SENTENCES  # noqa: E402

@@ -59,6 +59,11 @@ def speech_cleanup(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", T.speech_cleanup(line).alias("speech"))
 
 
+def speech_cleanup_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """What is said of the whole text of every turn. No SQL: it has no look-ahead."""
+    return table(spark, folder, "conversations").select("conv_id", "turn", T.speech_cleanup(F.col("text")).alias("speech"))
+
+
 def format_detect(spark: SparkSession, folder: str) -> DataFrame:
     """Markdown or plain, for documents as they are and with a mark added by the remainder of their id."""
     marks = F.element_at(F.array(F.lit(""), F.lit("# Title\n"), F.lit("> quoted\n"), F.lit("a **bold** b\n"), F.lit("# lower\n"), F.lit("```\ncode\n```\n")), (F.col("doc_id") % 6 + 1).cast("int"))
@@ -111,7 +116,7 @@ def neighbour_context(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (flagship_sentences, clean_documents, readable_share_by_lang, shouted_sentences, tidy_words, filler_drop, speech_cleanup, format_detect, plain_heading_candidates, plain_hard_wraps, lookahead_window, open_tail, neighbour_context)
+    for f in (flagship_sentences, clean_documents, readable_share_by_lang, shouted_sentences, tidy_words, filler_drop, speech_cleanup, speech_cleanup_turns, format_detect, plain_heading_candidates, plain_hard_wraps, lookahead_window, open_tail, neighbour_context)
 }
 
 ORACLES = {

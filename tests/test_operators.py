@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import names, normalize, speech, structure
-from lectern.plans import rules
+from lectern.plans import blocks, rules, texts
 from lectern.sources import lexicons, registers, workbooks
 from lectern.streaming import sessions
 
@@ -156,3 +156,27 @@ def test_digit_shortcut_changes_no_result():
 def test_rules_that_need_a_digit_have_one():
     assert normalize.NEED_DIGIT <= {r.name for r in normalize.RULES}
     assert not any(r.needs_digit for r in normalize.RULES if "\\d" not in r.pattern.pattern)
+
+
+def test_whole_turns_are_tidied(spark, tmp_path):
+    filler = "plain words " * 60
+    turns = [
+        (1, 0, f"{filler}and and the, the end had had it", f"{filler}and the end had had it"),
+        (1, 1, f"First\nto to go {filler}I I", f"First\nto go {filler}I"),
+        (2, 0, "", ""),
+        (2, 1, None, None),
+    ]
+    spark.createDataFrame([t[:3] for t in turns], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted((r["conv_id"], r["turn"], r["tidied"]) for r in blocks.stammers_turns(spark, str(tmp_path)).collect()) == [(c, t, x) for c, t, _, x in turns]
+
+
+def test_whole_turns_are_cleaned_for_speech(spark, tmp_path):
+    filler = "plain words " * 60
+    turns = [
+        (1, 0, f"{filler}see [the\npage](docs/a.md) at https://x.org/a [1, 2] <b>now</b>", f"{filler}see the page at link now"),
+        (1, 1, f"First\n> quoted\n > > twice a > b {filler}`code`", f"First quoted twice a > b {filler}code"),
+        (2, 0, "", ""),
+        (2, 1, None, None),
+    ]
+    spark.createDataFrame([t[:3] for t in turns], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted((r["conv_id"], r["turn"], r["speech"]) for r in texts.speech_cleanup_turns(spark, str(tmp_path)).collect()) == [(c, t, x) for c, t, _, x in turns]
