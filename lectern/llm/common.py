@@ -30,13 +30,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{as_uri(base)}/{uuid.uuid4().hex}"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Makes DataFrame.checkpoint() usable where the cluster names no folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="lectern-"))
-
-
 def as_uri(path: str) -> str:
     if path.startswith("file:/") and not path.startswith("file://"):
         return "file://" + path[len("file:") :]
@@ -50,16 +43,36 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in a folder of its own below the shared one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.made, self.paths = spark, shared_folder(spark), 0, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a Parquet table: computed once, readable after executors are lost."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}-{name}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = table
+        return table
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Removes all other tables, which nothing may read any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path, table in list(self.paths.items()):
+            if not any(table is t for t in tables):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+                del self.paths[path]
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns, so that no other column of the input can clash with an operator's own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case and nothing else changed."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each part has at most SLICE_ROWS rows and, past one row, most_bytes of text."""
     for batch in batches:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and component (the least node reachable) for every node that a link (a, b) has; nothing for others.
 
     Every round hangs each node's larger neighbours on its least one, then its smaller ones; a round is a few joins and
@@ -16,7 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    links = written(links.where("a <> b").select(high.alias("u"), low.alias("v")).distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    links = scratch.write(links.where("a <> b").select(high.alias("u"), low.alias("v")).distinct(), "links")
     before = None
     while True:
         after = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(pmod(xxhash64(v, u), 1048576))")).first()
@@ -29,4 +30,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         small = large.join(least, "u")
         small = small.select("u", F.col("least").alias("v")).union(small.select(F.col("v").alias("u"), F.col("least").alias("v")))
-        links = written(small.where("u <> v").distinct(), "links")
+        links = scratch.write(small.where("u <> v").distinct(), "links")

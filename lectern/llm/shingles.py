@@ -125,7 +125,10 @@ def schemes(threshold: Threshold, largest: int) -> list[Scheme]:
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray, threshold: Threshold, hot: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of the sets: (row of the set, signature, whether it is of a deletion).
+    """Signatures of the sets: (row of the set, signature, whether the set is away there, as after a deletion).
+
+    Two sets need to be compared where they share a signature and not both are away. Where nothing is left of a segment,
+    the signature also has a size: a set is at home at its own and away at those of its possible partners.
 
     hot has signatures (ascending) and how many sets have them; other signatures count as rare. Of a set's segments the
     rarest are taken, by a total order of all signatures, so that linked sets take a common one. Without hot, all are
@@ -159,14 +162,28 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, threshold: Threshold, hot:
         rows = cells // scheme.segments
         if scheme.deletions:
             few = cells % scheme.segments < scheme.deletions
-            rows_out.append(rows)
-            sig_out.append(sig)
-            deleted_out.append(np.zeros(len(sig), bool))
+            filled = np.zeros(len(cells), np.int64)
+            filled[at] = np.diff(np.append(begins, len(cell)))
             which = np.repeat(at, np.diff(np.append(begins, len(cell))))
             keep = few[which]
-            rows_out.append(rows[which][keep])
-            sig_out.append(mix(sums[which] - members + salt[cells[which] % scheme.segments])[keep])
-            deleted_out.append(np.ones(int(keep.sum()), bool))
+            del_sig = mix(sums[which] - members + salt[cells[which] % scheme.segments])[keep]
+            del_rows, del_empty = rows[which][keep], filled[which][keep] == 1
+            own, theirs = sizes[rows], sizes[del_rows]
+            low, high = threshold.least_partner(scheme.low), scheme.high
+            # what is left of a segment is nothing: such sets share a signature only with those of a size in reach
+            empty = filled == 0
+            parts = [(rows[~empty], sig[~empty], False), (del_rows[~del_empty], del_sig[~del_empty], True), (rows[empty], mix(sig[empty] ^ own[empty].astype(np.uint64) * _BASE), False)]
+            for r, g, z, same in ((rows[empty], sig[empty], own[empty], False), (del_rows[del_empty], del_sig[del_empty], theirs[del_empty], True)):
+                least = np.maximum(low, -(-threshold.num * z // threshold.den))
+                most = np.minimum(high, threshold.den * z // threshold.num)
+                count = np.maximum(0, most - least + 1)
+                partner = np.repeat(least, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                other = np.flatnonzero(same | (partner != np.repeat(z, count)))
+                parts.append((np.repeat(r, count)[other], mix(np.repeat(g, count) ^ partner.astype(np.uint64) * _BASE)[other], True))
+            for r, g, away in parts:
+                rows_out.append(r)
+                sig_out.append(g)
+                deleted_out.append(np.full(len(g), away))
             continue
         if hot is not None:
             place = np.minimum(np.searchsorted(hot[0], sig), max(0, len(hot[0]) - 1))

@@ -373,6 +373,49 @@ def test_tiles_lose_no_pair(spark, monkeypatch):
     assert found == brute_classes(rows, 2, 90)
 
 
+def test_short_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(3, 12)))) for i in range(2000)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in joins.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n=2, num=60).collect()}
+    assert found == brute_classes(rows, 2, 60)
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_family_far_from_its_least_member(spark, monkeypatch, tile):
+    monkeypatch.setattr(joins, "TILE", tile)
+    monkeypatch.setattr(joins, "FEW", 8)
+    rng, base, rows = random.Random(12), [f"w{i}" for i in range(160)], []
+    for i in range(700):
+        words = list(base)
+        for k in rng.sample(range(160), 7 if i == 0 else rng.choice((1, 2, 3, 3, 4, 5))):  # five-word shingles: five a change
+            words[k] = f"e{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in joins.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n=5, num=80).collect()}
+    assert found == brute_classes(rows, 5, 80)
+    assert len({c for _, c in found.values()}) > 1
+
+
+def test_wide_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (3, 900, 1025, 1500, 5000)]
+    sets += [np.unique(np.append(s[: len(s) * 9 // 10], rng.integers(0, 1 << 62, 7, dtype=np.uint64))) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    import pyarrow as pa
+
+    sketches = joins.Sketches(pa.array(joins._sketches(np.concatenate(sets), sizes), pa.binary()))
+    x, y = (a.ravel() for a in np.indices((len(sets), len(sets))))
+    for i, j, apart in zip(x, y, sketches.apart(x, y), strict=True):
+        assert apart <= len(np.setxor1d(sets[i], sets[j]))
+        assert i != j or apart == 0
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (3, " ".join([*words[:-1], "x"])), (None, " ".join(["y", *words[1:]])), (1, "other words"), (None, None)]
+    found = joins.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n=2, num=90).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (0, 3), (0, 3), (1, 1), (3, 3)]
+
+
 def test_jaccard_empty_and_odd(spark, odd, none):
     assert joins.jaccard_classes(none).count() == 0
     rows = joins.jaccard_classes(odd).collect()
@@ -387,10 +430,10 @@ def test_linked_sets_share_a_signature():
     rng, threshold = np.random.default_rng(1), shingles.Threshold(80, 100)
     for _ in range(300):
         size = int(rng.integers(1, 200))
-        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        a = rng.integers(0, (1 << 64) - 1, size, dtype=np.uint64, endpoint=True)
         b = a.copy()
         for k in range(int(rng.integers(0, 1 + size // 9))):
-            b = np.delete(b, rng.integers(len(b))) if k % 2 else np.append(b, rng.integers(0, 1 << 63, dtype=np.uint64))
+            b = np.delete(b, rng.integers(len(b))) if k % 2 else np.append(b, rng.integers(0, (1 << 64) - 1, dtype=np.uint64, endpoint=True))
         a, b = np.unique(a), np.unique(b)
         if len(b) == 0 or not threshold.linked(len(np.intersect1d(a, b)), len(a), len(b)) or len(a) == len(b) == len(np.intersect1d(a, b)):
             continue
