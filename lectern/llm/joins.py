@@ -34,8 +34,8 @@ SKETCH_BITS = 1024
 HOT, LOCAL_HOT, HOT_REPORTED, HOT_BATCH, HOT_KEPT = 48, 4, 2_048, 1_000_000, 16_384
 #: Nodes on one side of a block, and shingles that they have together at most (a single larger set is a side of its own).
 TILE, TILE_SHINGLES = 512, 1 << 22
-#: Signatures with more nodes than this outside their main component get more left sides before the tiles, HUBS at a time.
-FEW, HUBS = 64, 8
+#: Nodes that a signature with more than a tile of nodes outside its main component compares in a further round.
+HUBS = 8
 #: Rows and bytes of blocks that a worker handles together.
 HELD_ROWS, HELD_BYTES = 4_096, 1 << 24
 #: Bytes of text that are hashed together.
@@ -318,7 +318,7 @@ class JaccardJoin:
         return self.links(hubs.union(placed.select(*rows("node", "size", False))))
 
     def placed(self, posted: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The nodes of the signatures that still have several components, with those; and for each such signature its
+        """The nodes of all signatures with their components; and for each signature that still has several of them its
         main component, how many nodes it has, how many outside the main component, and its largest set.
 
         A signature's least node has been compared with all others, so it is left out."""
@@ -328,11 +328,11 @@ class JaccardJoin:
         counted = rows.groupBy("signature", "component").agg(F.count("*").alias("n"), F.max("size").alias("largest"))
         state = counted.groupBy("signature").agg(F.max(F.struct("n", "component")).alias("best"), F.sum("n").alias("n"), F.max("largest").alias("largest"), F.count("*").alias("parts")).where("parts > 1")
         state = self.scratch.write(state.select("signature", F.col("best.component").alias("main"), "n", (F.col("n") - F.col("best.n")).alias("outside"), "largest"), "state")
-        return rows.join(self.bounded(state.select("signature")), "signature", "left_semi"), state
+        return rows, state
 
     def more_hubs(self, rows: DataFrame, state: DataFrame, seed: int) -> DataFrame:
         """Pairs of some nodes outside the main component of each signature that has many of them, and all its nodes."""
-        many = self.bounded(state.where(F.col("outside") > FEW).select("signature", "main"))
+        many = self.bounded(state.where(F.col("outside") > TILE).select("signature", "main"))
         own = rows.join(many, "signature")
         drawn = own.where("component <> main and not away").groupBy("signature", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(-seed)).alias("draw"), "node", "size", "component")).alias("hub"))
         drawn = self.bounded(self.scratch.write(drawn.select("signature", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.component").alias("hub_component")), "hubs"))
@@ -360,14 +360,14 @@ class JaccardJoin:
         links = self.stars(posted.select(F.col("least").alias("hub"), F.col("least_size").alias("hub_size"), "node", "size"))
         before, seed = None, 1
         while True:
-            open_rows, state = self.placed(posted, links)
-            outside = state.agg(F.sum("outside"), F.sum(F.when(F.col("outside") > FEW, F.col("outside")))).first()
+            placed, state = self.placed(posted, links)
+            outside = state.agg(F.sum("outside"), F.sum(F.when(F.col("outside") > TILE, F.col("outside")))).first()
             if not outside[0]:
                 return links
             if not outside[1] or before is not None and outside[1] > 0.8 * before:
-                return self.scratch.write(links.union(self.links(self.tiles(open_rows, state))), "links")
+                return self.scratch.write(links.union(self.links(self.tiles(placed, state))), "links")
             before, seed = outside[1], seed + 1
-            links = self.scratch.write(links.union(self.stars(self.more_hubs(open_rows, state, seed))), "links")
+            links = self.scratch.write(links.union(self.stars(self.more_hubs(placed, state, seed))), "links")
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -53,8 +53,9 @@ def shingle_sets(texts: Sequence[str | None], n: int) -> tuple[np.ndarray, np.nd
         rows = at + np.minimum(k, span[at] - 1)
         total = mix(total * _BASE + words[rows]) if n <= 8 else total * _BASE + words[rows]
     owner = text_of[at]
-    order = np.lexsort((total, owner))
-    total, owner = total[order], owner[order]
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        total[a:b].sort()
     fresh = np.append(True, (total[1:] != total[:-1]) | (owner[1:] != owner[:-1]))
     return total[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
