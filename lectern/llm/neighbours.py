@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by its nearest pivots in order of nearness. The rows lie in blocks, and each block posts its
-vectors in one inverted file per pivot. A query reads the files of its own pivots, which gives the footrule distance
-between the two orders for all vectors of the block; the share of the block with the least distance is ranked again by the
-exact cosine. All rows are indexed. Queries go against rows block by block: a row of the product is a pair of blocks.
+Every vector is represented by its nearest pivots in order of nearness, and posted in the inverted file of its nearest one.
+A file is kept as blocks of vectors that are written once. A query reads the files of its own nearest pivots only; in
+each block the footrule distance between its order of pivots and the vectors' orders picks the share that is ranked again
+by the exact cosine. All rows are indexed. Files with many blocks are salted, so that no pivot's file lies in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,19 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors that the pivots are drawn from at most, pivots, and how many of its nearest ones stand for a vector.
-PIVOT_SAMPLE, PIVOTS, NEAREST = 2_048, 128, 48
+from .common import Scratch
+
+#: Vectors that the pivots are drawn from at most, pivots (no more than one for PIVOT_EACH of the sample), how many of its
+#: nearest ones stand for a vector, and the share of the files that a query reads.
+PIVOT_SAMPLE, PIVOTS, PIVOT_EACH, NEAREST, PROBE_SHARE = 2_048, 128, 8, 64, 0.75
 #: The share of a block that is ranked by the exact measure, and its least number of vectors.
-RERANK_SHARE, RERANK_LEAST = 0.15, 128
-#: Vectors in a block of rows, and in a block of queries.
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
+RERANK_SHARE, RERANK_LEAST = 0.4, 64
+#: Vectors in a block of rows and of queries at most, bytes of a block, and bytes that a task gathers for all its blocks.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCK_BYTES, GATHER_BYTES = 4_096, 512, 1 << 21, 1 << 26
+#: Blocks of one file that one task reads.
+BLOCKS_A_SALT = 8
 
-_BLOCK = "n int, dim int, ids binary, vectors binary, orders binary"
+_BLOCK = "file int, n int, dim int, ids binary, vectors binary, orders binary"
 
 
 def usable(matrix: np.ndarray) -> np.ndarray:
@@ -47,69 +53,84 @@ def _arrays(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat.reshape(len(rows), dim)
 
 
-def _packer(pivots: np.ndarray, nearest: int, most: int):
+def _packer(pivots: np.ndarray, nearest: int, files: int, most: int):
+    """Posts each vector in the files of its `files` nearest pivots, as blocks. Vectors of another length than the
+    pivots' have one file for each length."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        rows_in: dict[int, int] = {}
+        gathered = 0
 
-        def block(dim: int) -> pa.RecordBatch:
-            ids, matrix = (np.concatenate(x) for x in zip(*waiting.pop(dim), strict=True))
+        def block(file: int) -> pa.RecordBatch:
+            ids, matrix, orders = (np.concatenate(x) for x in zip(*waiting.pop(file), strict=True))
             order = np.argsort(ids, kind="stable")
-            ids, matrix = ids[order], matrix[order]
-            orders = nearest_pivots(matrix, pivots, nearest) if pivots.shape[1:] == (dim,) else np.empty((0, 0), "<u2")
-            columns = [[len(ids)], [dim], [ids.astype("<i8").tobytes()], [matrix.astype("<f8").tobytes()], [orders.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["n", "dim", "ids", "vectors", "orders"])
+            values = [rows_in.pop(file)], [matrix.shape[1]], [ids[order].astype("<i8").tobytes()], [matrix[order].astype("<f8").tobytes()], [orders[order].tobytes()]
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=["file", "n", "dim", "ids", "vectors", "orders"])
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, most):
-                part = batch.slice(begin, most)
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
                 ids = part.column("vec_id").to_numpy(zero_copy_only=False)
                 for rows, matrix in _arrays(part.column("vector")):
                     fine = usable(matrix)
-                    if fine.any():
-                        dim = matrix.shape[1]
-                        waiting.setdefault(dim, []).append((ids[rows[fine]], matrix[fine]))
-                        if sum(len(i) for i, _ in waiting[dim]) >= most:
-                            yield block(dim)
-        for dim in sorted(waiting):
-            yield block(dim)
+                    own, matrix, dim = ids[rows[fine]], matrix[fine], matrix.shape[1]
+                    same = pivots.shape[1:] == (dim,)
+                    orders = nearest_pivots(matrix, pivots, max(nearest, files)) if same else np.empty((len(own), 0), "<u2")
+                    posted = orders[:, :files].astype(np.int64) if same else np.full((len(own), 1), -dim)
+                    orders = orders[:, :nearest]
+                    at, place = np.repeat(np.arange(len(own)), posted.shape[1]), posted.ravel()
+                    by = np.argsort(place, kind="stable")
+                    for some in np.split(by, np.flatnonzero(np.diff(place[by])) + 1) if len(by) else ():
+                        file, some_rows = int(place[some[0]]), at[some]
+                        waiting.setdefault(file, []).append((own[some_rows], matrix[some_rows], orders[some_rows]))
+                        rows_in[file] = rows_in.get(file, 0) + len(some_rows)
+                        gathered += len(some_rows) * dim * 8
+                        if rows_in[file] >= min(most, max(1, BLOCK_BYTES // (8 * dim))):
+                            gathered -= rows_in[file] * dim * 8
+                            yield block(file)
+                while gathered > GATHER_BYTES:
+                    file = max(rows_in, key=lambda f: (rows_in[f] * waiting[f][0][1].shape[1], f))
+                    gathered -= rows_in[file] * waiting[file][0][1].shape[1] * 8
+                    yield block(file)
+        for file in sorted(waiting):
+            yield block(file)
 
     return pack
 
 
-class BlockIndex:
-    """A block's vectors and its inverted files: for each pivot the vectors that have it among their nearest, and where."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, orders: np.ndarray):
-        self.ids, self.vectors, self.nearest = ids, vectors.astype(np.float64), orders.shape[1] if orders.size else 0
-        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
-        if self.nearest:
-            flat = orders.ravel()
-            by = np.argsort(flat, kind="stable")
-            bounds = np.searchsorted(flat[by], np.arange(int(flat.max()) + 2))
-            self.files = {int(p): (by[a:b] // self.nearest, by[a:b] % self.nearest) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a}
-
-    def candidates(self, order: np.ndarray, most: int) -> np.ndarray:
-        """The vectors with the least footrule distance to an order of pivots; of equals those with smaller ids."""
-        n = len(self.ids)
-        if not self.nearest or most >= n:
-            return np.arange(n)
-        k = self.nearest
-        distance = np.full(n, 2 * k * k, np.int64)
-        for place, pivot in enumerate(order.tolist()):
-            if pivot in self.files:
-                rows, places = self.files[pivot]
-                # a missing pivot counts as place k, on both sides
-                distance[rows] += np.abs(places - place) - (k - place) - (k - places)
-        return np.argpartition(distance * n + np.arange(n), most)[:most]
-
-    def search(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the nearest vectors but the query's own."""
-        rows = self.candidates(order, max(RERANK_LEAST, 8 * k, int(share * len(self.ids))))
-        rows = rows[self.ids[rows] != query_id]
-        query = query.astype(np.float64)
-        cosines = (self.vectors[rows] * query).sum(1) / (self.norms[rows] * np.sqrt((query * query).sum()))
-        best = np.lexsort((self.ids[rows], -cosines))[:k]
-        return self.ids[rows[best]], cosines[best]
+def closeness(a: np.ndarray, b: np.ndarray, pivots: int) -> np.ndarray:
+    """For each order of pivots in a and each in b how far the footrule distance lies below that of orders without a
+    common pivot, halved: the sum of k less the larger of the two places, over the pivots that both have."""
+    k = a.shape[1]
+    worth = [np.zeros((len(x), pivots), np.int16) for x in (a, b)]
+    for w, x in zip(worth, (a, b), strict=True):
+        np.put_along_axis(w, x.astype(np.int64), np.arange(k, 0, -1, dtype=np.int16)[None].repeat(len(x), 0), 1)
+    left, right = np.ascontiguousarray(worth[0].T), np.ascontiguousarray(worth[1].T)
+    total = np.zeros((len(a), len(b)), np.int16)
+    for p in range(pivots):
+        total += np.minimum(left[p][:, None], right[p][None])
+    return total
+
+
+def search_block(query_ids, queries, query_orders, ids, vectors, orders, k: int, share: float, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id and cosine of the k nearest vectors of a block, for each query, but its own."""
+    n = len(ids)
+    norms, query_norms = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
+    near = (queries / query_norms[:, None]) @ (vectors / norms[:, None]).T
+    near[query_ids[:, None] == ids[None]] = -9.0
+    most = max(RERANK_LEAST, 8 * k, int(share * n))
+    if orders.shape[1] and most < n:
+        close = closeness(query_orders, orders, pivots)
+        near[close < np.partition(close, n - most, 1)[:, n - most][:, None]] = -9.0
+    least = np.partition(near, n - k, 1)[:, n - k] if n > k else np.full(len(queries), -2.0)
+    q, v = np.nonzero((near >= least[:, None] - 1e-9) & (near > -8.0))  # all that rounding could put among the k
+    cosines = (vectors[v] * queries[q]).sum(1) / (norms[v] * query_norms[q])
+    order = np.lexsort((ids[v], -cosines, q))
+    q, v, cosines = q[order], v[order], cosines[order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    return query_ids[q[nth < k]], ids[v[nth < k]], cosines[nth < k]
 
 
 def _unpack(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +149,7 @@ def draw_pivots(vectors: DataFrame, count: int = PIVOTS, sample: int = PIVOT_SAM
         found.append(matrix / np.sqrt((matrix**2).sum(1, keepdims=True)))
     unit = max(found, key=len, default=np.empty((0, 0)))
     chosen, near = [], np.full(len(unit), -np.inf)
-    while len(chosen) < min(count, len(unit)):
+    while len(chosen) < min(count, -(-len(unit) // PIVOT_EACH)):
         at = int(near.argmin())
         if near[at] > 1 - 1e-9:
             break
@@ -137,36 +158,31 @@ def draw_pivots(vectors: DataFrame, count: int = PIVOTS, sample: int = PIVOT_SAM
     return unit[chosen]
 
 
-def nearest_neighbours(table: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, nearest: int = NEAREST, share: float = RERANK_SHARE) -> DataFrame:
+def nearest_neighbours(table: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, nearest: int = NEAREST, probe_share: float = PROBE_SHARE, share: float = RERANK_SHARE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for each row where is_query holds.
 
     Nearness is the cosine in double precision; of equals the smaller id comes first. A vector that is null, empty or
     zero, or has null or non-finite components, takes no part, nor has a row without id; vectors of different lengths are
     never near. Repeated rows of one id are candidates each, but never for that id. An empty table gives an empty result;
-    other columns are left out.
+    other columns are left out. Vectors of another length than most are searched without pivots.
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("vec_id is not null and vector is not null")
-    chosen = draw_pivots(rows, pivots)
-    blocks = rows.select("vec_id", "vector").mapInArrow(_packer(chosen, nearest, BLOCK_ROWS), _BLOCK)
-    queries = rows.where("is_query").select("vec_id", "vector")
-    parts = max(1, -(-queries.count() // BLOCK_QUERIES))
-    asked = queries.repartition(parts).mapInArrow(_packer(chosen, nearest, BLOCK_QUERIES), _BLOCK)
-    pairs = blocks.crossJoin(asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns))).where("dim = q_dim")
+    scratch, chosen = Scratch(table.sparkSession), draw_pivots(rows, pivots)
+    count = len(chosen)
+    blocks = scratch.write(rows.select("vec_id", "vector").mapInArrow(_packer(chosen, nearest, 1, BLOCK_ROWS), _BLOCK), "files")
+    salts = blocks.groupBy("file").agg(F.ceil(F.count("*") / BLOCKS_A_SALT).cast("int").alias("salts"))
+    asked = rows.where("is_query").select("vec_id", "vector").mapInArrow(_packer(chosen, nearest, math.ceil(probe_share * count), BLOCK_QUERIES), _BLOCK)
+    asked = asked.select(F.col("file"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "vectors", "orders")))
+    asked = asked.join(salts, "file").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    dealt = blocks.join(salts, "file").withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("salts")).cast("int")).drop("salts")
+    pairs = dealt.join(asked.hint("shuffle_hash"), ["file", "salt"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, BlockIndex | None] = (b"", None)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ids, vectors, orders = _unpack(row, "")
-                if held[0] != row["ids"]:
-                    held = (row["ids"], BlockIndex(ids, vectors, orders))
-                out = ([], [], [])
-                for query_id, query, order in zip(*_unpack(row, "q_"), strict=True):
-                    found, cosines = held[1].search(query_id, query, order, k, share)
-                    for column, values in zip(out, (np.full(len(found), query_id), found, cosines), strict=True):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+                found = search_block(*_unpack(row, "q_"), *_unpack(row, ""), k, share, count)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -174,6 +190,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, *, k: int = 5, id_col
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest_neighbours of every fiftieth vector; nulls, ties, repeats and empty tables as there."""
     return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
