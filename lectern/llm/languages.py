@@ -8,11 +8,11 @@ its words. The models are fitted by expectation-maximisation, on the words of a
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +21,12 @@ from .tokens import default_vocabulary
 
 #: Texts of each language that the fit takes at most, on average (all, where there are fewer), and rounds of the fit.
 SAMPLE_TEXTS, FIT_ROUNDS = 300, 3
-#: Letters of the longest piece in use; a longer word than WORD_CHARS is scored as several words.
-PIECE_CHARS, WORD_CHARS = 8, 32
+#: Longer words are scored one by one, all their parts at once, with rescaled sums.
+LONG_WORD = 48
 #: Words whose scores a worker keeps before it starts afresh.
 CACHE_WORDS = 300_000
 _UNKNOWN, _SMOOTHING = 1e-7, 0.1
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _START = "▁"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,13 +37,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The pieces in use, found by the hash of their letters in a table with two places for each."""
+    """The pieces in use, found by the hash of their letters in tables, as many as it takes to place them all."""
 
     BITS = 20
 
     def __init__(self, pieces: Sequence[str]):
         self.pieces = list(pieces)
         lengths = np.array([len(p) for p in self.pieces])
+        self.longest = int(lengths.max(initial=1))
         self.hashes = np.zeros(len(self.pieces), np.uint64)
         for n in np.unique(lengths):
             rows = np.flatnonzero(lengths == n)
@@ -52,35 +53,43 @@ class Vocabulary:
             for k in range(n):
                 h = self.step(h, points[:, k])
             self.hashes[rows] = h
-        self.tables = [np.full(1 << self.BITS, -1, np.int32) for _ in range(2)]
+        if len(np.unique(self.hashes)) < len(self.pieces):
+            raise ValueError("two pieces have one hash")
+        self.tables: list[np.ndarray] = []
+        left = np.arange(len(self.pieces))
+        while len(left):
+            places = self._places(self.hashes[left], len(self.tables))
+            _, first = np.unique(places, return_index=True)
+            self.tables.append(np.full(1 << self.BITS, -1, np.int32))
+            self.tables[-1][places[first]] = left[first]
+            left = np.delete(left, first)
         self.hashes = np.append(self.hashes, np.uint64(0))  # what -1 points to
-        for i, h in enumerate(self.hashes[:-1]):
-            for table, at in zip(self.tables, self._places(np.array([h])), strict=True):
-                if table[at[0]] < 0:
-                    table[at[0]] = i
-                    break
 
     @staticmethod
     def step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
         """The hash of a text one letter longer."""
         return _mix((h + points.astype(np.uint64) + np.uint64(1)) * _FACTOR)
 
-    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (h >> np.uint64(64 - self.BITS)).astype(np.int64), (h & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+    def _places(self, h: np.ndarray, table: int) -> np.ndarray:
+        return (h >> np.uint64(64 - self.BITS) if table == 0 else _mix(h + np.uint64(table)) >> np.uint64(44 - self.BITS) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece with each hash, or -1."""
-        one, two = (table[at] for table, at in zip(self.tables, self._places(h), strict=True))
-        return np.where(self.hashes[one] == h, one, np.where(self.hashes[two] == h, two, -1))
+        found = self.tables[0][self._places(h, 0)] if self.tables else np.full(h.shape, -1, np.int32)
+        found = np.where(self.hashes[found] == h, found, -1)
+        for k, table in enumerate(self.tables[1:], 1):
+            other = table[self._places(h, k)]
+            found = np.where((found < 0) & (self.hashes[other] == h), other, found)
+        return found
 
 
-def load_vocabulary(path: str, most: int = PIECE_CHARS) -> Vocabulary:
-    """The lower-case pieces of letters in a SentencePiece model file, with or without a word's start."""
+def load_vocabulary(path: str) -> Vocabulary:
+    """The lower-case pieces of letters in a SentencePiece model file, with or without a word's start, of any length."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return Vocabulary(sorted({p for p in pieces if len(p) <= most and p == p.lower() and (p.removeprefix(_START).isalpha() or p == _START)}))
+    return Vocabulary(sorted({p for p in pieces if p == p.lower() and (p.removeprefix(_START).isalpha() or p == _START)}))
 
 
 def _grid(vocabulary: Vocabulary, points: np.ndarray, most: int) -> list[list[np.ndarray]]:
@@ -119,9 +128,51 @@ def backward(grid: list[list[np.ndarray]], p: np.ndarray) -> list[np.ndarray]:
     return beta
 
 
+def long_word_log(vocabulary: Vocabulary, word: str, p: np.ndarray) -> np.ndarray:
+    """The logarithm of a word's probability by language, by the same sum as `forward`, for words of any length.
+
+    The word is cut into some sqrt(n) stretches that run side by side: each carries forward what it would give for every
+    state it can begin with (the sums of the last few letters), rescaled as it goes; then the states are chained.
+    """
+    most, languages = vocabulary.longest, p.shape[1]
+    points = np.frombuffer((_START + word).encode("utf-32-le"), "<u4")
+    n = len(points)
+    pieces = np.full((most, n), -1, np.int64)  # by length - 1 and the letter that a piece ends at
+    h = np.zeros(n, np.uint64)
+    for length in range(1, min(most, n) + 1):
+        h = vocabulary.step(h[: n - length + 1], points[length - 1 :])
+        pieces[length - 1, length - 1 :] = vocabulary.find(h)
+    stretch = max(most, int(np.ceil(np.sqrt(n))))
+    count = -(-n // stretch)
+    state = np.zeros((count, most, most, languages))  # stretch, letters back, state it began with, language
+    state[:, np.arange(most), np.arange(most)] = 1.0
+    logs = np.zeros((count, languages))
+    begins = np.arange(count) * stretch
+    for k in range(stretch):
+        at = begins + k
+        inside = at < n
+        piece = pieces[:, np.minimum(at, n - 1)]
+        gain = np.where(piece[..., None] >= 0, p[piece], 0.0)
+        gain[0] = p[piece[0]]  # the last row of p is for letters that no piece has
+        fresh = np.einsum("lcg,clsg->csg", gain, state)
+        moved = np.concatenate([fresh[:, None], state[:, :-1]], 1)
+        state = np.where(inside[:, None, None, None], moved, state)
+        if k % 8 == 7:
+            scale = np.maximum(state.max((1, 2)), 1e-300)
+            state /= scale[:, None, None]
+            logs += np.log(scale)
+    now, total = np.zeros((most, languages)), logs.sum(0)
+    now[0] = 1.0
+    for c in range(count):
+        now = np.einsum("lsg,sg->lg", state[c], now)
+        scale = np.maximum(now.max(0), 1e-300)
+        now, total = now / scale, total + np.log(scale)
+    return total + np.log(np.maximum(now[0], 1e-300))
+
+
 def split_words(text: str) -> list[str]:
-    """The runs of letters in lower case, long ones cut."""
-    return [w[i : i + WORD_CHARS] for w in _LETTERS.findall(text.lower()) for i in range(0, len(w), WORD_CHARS)]
+    """The runs of letters in lower case."""
+    return _LETTERS.findall(text.lower())
 
 
 def _by_length(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,7 +196,7 @@ class LanguageModel:
         vocabulary = load_vocabulary(vocabulary_path)
         v, k = len(vocabulary.pieces), len(languages)
         p = np.full((v + 1, k), 1.0 / (v + 1))
-        grids = [(rows, _grid(vocabulary, points, PIECE_CHARS)) for rows, points in _by_length(words)]
+        grids = [(rows, _grid(vocabulary, points, vocabulary.longest)) for rows, points in _by_length(words)]
         for _ in range(rounds):
             expected = np.zeros((v + 1, k))
             for rows, grid in grids:
@@ -175,8 +226,11 @@ class Scorer:
 
     def word_logs(self, words: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.model.languages)))
-        for rows, points in _by_length(words):
-            out[rows] = np.log(np.maximum(forward(_grid(self.vocabulary, points, PIECE_CHARS), self.model.p)[-1], 1e-300))
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        for rows, points in _by_length([words[i] for i in short]) if short else ():
+            out[np.array(short)[rows]] = np.log(np.maximum(forward(_grid(self.vocabulary, points, self.vocabulary.longest), self.model.p)[-1], 1e-300))
+        for i in sorted(set(range(len(words))).difference(short)):
+            out[i] = long_word_log(self.vocabulary, words[i], self.model.p)
         return out
 
     def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
@@ -214,7 +268,8 @@ _scorers: dict[str, Scorer] = {}
 def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None, sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
     """Fits the models on texts where `learn` holds and the language is not null: a sample by a hash of the id, of
     sample_texts texts of each language on average, or all that there are. The sample's words are counted in Spark; what
-    comes to the driver is bounded by the sample."""
+    comes to the driver is bounded by the sample. Words of more than LONG_WORD letters are scored, but not learned from;
+    repeated rows count each; an empty table gives a model that knows no language."""
     path = vocabulary or default_vocabulary("piece_bpe_32k.model")
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)).alias("draw"), F.col(text_col).alias("text"))
@@ -229,6 +284,8 @@ def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", tex
     cells: list[tuple[int, int, int]] = []
     for lang, token, n in zip(*(table.column(c).to_pylist() for c in ("lang", "token", "n")), strict=True):
         for word in split_words(token):
+            if len(word) > LONG_WORD:
+                continue
             cells.append((at.setdefault(word, len(at)), lang_at[lang], n))
     counts = np.zeros((len(at), len(languages)))
     w, k, n = (np.array(c, np.int64) for c in zip(*cells, strict=True)) if cells else (np.zeros(0, np.int64),) * 3
@@ -242,8 +299,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "d
     """doc_id, lang_pred and score for each row, from the text alone.
 
     A null text and one without a letter give und with score 0, as all do if nothing was learned. Null ids and repeated
-    rows pass through; other columns are left out; an empty table gives an empty result. The model that goes to the
-    workers has a number for each of some 20,000 pieces and each language.
+    rows pass through; of languages with the same probability the first in order is taken; texts and words of any length
+    are scored whole; other columns are left out; an empty table gives an empty result. The model that goes to the workers
+    has a number for each of some 20,000 pieces and each language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +316,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "d
 
 
 def keep_predicted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text has a language of at least this score; the rest is rejected."""
+    """The rows, with all their columns, whose text has a language of at least this score; the rest is rejected, as are
+    null texts and those without a letter. Repeated rows and null ids pass like others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.key not in _scorers:
@@ -277,6 +336,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by models that saw only those not held out; nulls, ties and repeats as for
+    predict_languages. A null id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_languages(docs, ~held_out())
     return predict_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -8,6 +8,7 @@ Equal values so stay equal in every document, nothing has to be stored or shuffl
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date
 from hashlib import blake2b
@@ -18,8 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, slices
 
-DEFAULT_KEY = b"lectern pseudonyms"
+#: Where the session names the key of the pseudonyms. Without it, a key is drawn that nobody keeps: values stay linked
+#: within a session, and nothing can be undone.
+KEY_SETTING = "spark.lectern.pseudonyms.key"
 ROUNDS = 10
+#: Characters that are permuted together at most.
+PART = 256
 #: Alphabets that a character is permuted within. Fixed values.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ")
 _ALPHABET = {c: a for a in _ALPHABETS for c in a}
@@ -66,7 +71,9 @@ class Permutation:
 
 def permute_text(move: Callable[[str, int, int], int], kind: str, text: str, keep: int = 0, alphabet: str = "") -> str:
     """text with its letters and digits (after the first `keep` characters) permuted together, each within its alphabet
-    or all within the given one; other characters stay."""
+    or all within the given one; other characters stay. Long texts are permuted part by part."""
+    if len(text) > PART:
+        return "".join(permute_text(move, f"{kind}/{i}", text[i : i + PART], max(0, keep - i), alphabet) for i in range(0, len(text), PART))
     alphabets = [(alphabet or _ALPHABET.get(c)) if i >= keep else None for i, c in enumerate(text)]
     number, size = 0, 1
     for c, a in zip(text, alphabets, strict=True):
@@ -107,7 +114,10 @@ def _digits(text: str) -> str:
 def _mail(text, move):
     local, _, host = text.rpartition("@")
     name, _, top = host.rpartition(".")
-    return permute_text(move, "mail", f"{local}@{name}") + f".{top}"
+    given = f"{local}@{name}"
+    # addresses that differ in case only are one address, and stay so
+    moved = permute_text(move, "mail", "".join(c.lower() if len(c.lower()) == 1 else c for c in given))
+    return "".join(m.upper() if c.isupper() and len(m.upper()) == 1 else m for c, m in zip(given, moved, strict=True)) + f".{top}"
 
 
 def _host(text, move):
@@ -134,11 +144,18 @@ def _phone(text, move):
     return _refill(permute_text(move, "phone", digits, code), text)
 
 
+def _is_identity(number: str) -> bool:
+    return not (number[:3] in ("000", "666") or number[:3] >= "900" or number[3:5] == "00" or number[5:] == "0000")
+
+
 def _identity(text, move):
-    area, group, serial = text.split("-")
-    if area in ("000", "666") or area >= "900" or group == "00" or serial == "0000":
+    number = _digits(text)
+    if not _is_identity(number):
         return None
-    return _refill(permute_text(move, "identity", _digits(text)), text)
+    number = permute_text(move, "identity", number)
+    while not _is_identity(number):  # the permutation of all numbers, walked inside the valid ones
+        number = permute_text(move, "identity", number)
+    return _refill(number, text)
 
 
 def _account(text, move):
@@ -184,7 +201,7 @@ _B, _E = r"(?<![\w@])", r"(?![\w@])"
 _TOKEN_WORDS = r"(?i:token|secret|passw(?:or)?d|credential|api[_ -]?key)"
 #: The kinds, in the order in which a place is tried: name, pattern (its group 1 is the value), reader, a character it needs.
 KINDS = (
-    ("mail", re.compile(r"([^\W_][\w.+%-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[A-Za-z]{2,24})(?![\w@])"), _mail, "@"),
+    ("mail", re.compile(r"(?<![\w.+%-])[_.+%-]*([^\W_][\w.+%-]*@[^\W_][\w-]*(?:\.[\w-]+)*\.[A-Za-z]{2,24})(?![\w@])"), _mail, "@"),
     ("token", re.compile(_TOKEN_WORDS + r"[^\w\n]{0,12}[=:][^\w\n]{0,12}([0-9A-Za-z][0-9A-Za-z+/_-]{14,})"), _token, ""),
     ("host", re.compile(_B + r"(?<!\d\.)(\d{1,3}(?:\.\d{1,3}){3})(?!\.\d)" + _E), _host, "."),
     ("date", re.compile(_B + r"(\d{4}([-/])\d{2}\2\d{2})" + _E), _iso_date, ""),
@@ -203,12 +220,14 @@ def pseudonymise(text: str | None, permutation: Permutation) -> tuple[str | None
     if not text or "@" not in text and not _DIGIT.search(text) and not _TOKEN_WORD.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
+    used = bytearray(len(text))
     for kind, pattern, reader, need in KINDS:
         if need and need not in text:
             continue
         for m in pattern.finditer(text):
             b, e = m.span(1)
-            if all(e <= x or y <= b for x, y, _, _ in taken) and (new := reader(m[1], permutation.apply)) is not None:
+            if used.find(1, b, e) < 0 and (new := reader(m[1], permutation.apply)) is not None:
+                used[b:e] = b"\1" * (e - b)
                 taken.append((b, e, kind, new))
     taken.sort()
     out, at = [], 0
@@ -218,12 +237,26 @@ def pseudonymise(text: str | None, permutation: Permutation) -> tuple[str | None
     return "".join([*out, text[at:]]), [(kind, b, e - b) for b, e, kind, _ in taken]
 
 
-def with_pseudonyms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+_drawn: list[bytes] = []
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's settings name, or one drawn at random for this driver."""
+    if named := spark.conf.get(KEY_SETTING, ""):
+        return named.encode()
+    if not _drawn:
+        _drawn.append(secrets.token_bytes(32))
+    return _drawn[0]
+
+
+def with_pseudonyms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, and spans (array of kind, start, length in the given text).
 
     A null text stays null and an empty one empty, without spans. Each row is handled by itself: repeated rows get equal
-    results and null ids pass through; other columns are left out; an empty table gives an empty result.
+    results and null ids pass through; where two kinds of values overlap the first of KINDS is taken; texts of any length
+    go in whole; other columns are left out; an empty table gives an empty result. For the key see session_key.
     """
+    key = key or session_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permutation = Permutation(key)
@@ -236,8 +269,10 @@ def with_pseudonyms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, spans array<struct<kind: string, start: long, length: long>>")
 
 
-def replace_texts(docs: DataFrame, *, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """The rows, with all their columns, and pseudonyms in the text."""
+def replace_texts(docs: DataFrame, *, text_col: str = "text", key: bytes | None = None) -> DataFrame:
+    """The rows, with all their columns, and pseudonyms in the text. Null and empty texts, repeated rows and null ids stay
+    as they are; texts of any length go in whole; an empty table gives an empty result. For the key see session_key."""
+    key = key or session_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permutation = Permutation(key)
@@ -249,6 +284,7 @@ def replace_texts(docs: DataFrame, *, text_col: str = "text", key: bytes = DEFAU
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms, how many values were replaced and of what kinds; odd rows as for with_pseudonyms."""
     rows = with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s.kind))), ",")
     return rows.select("doc_id", "text", F.size("spans").cast("long").alias("n_values"), kinds.alias("kinds"))

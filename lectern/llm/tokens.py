@@ -63,7 +63,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.piece_model = self.tokenizer.model
         self.pieces = _Cache(self._piece, CACHE_PIECES)
@@ -97,6 +97,8 @@ class ByteBpe:
     def encode_one(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):  # their places come before all splitting
+            return self._library(text)
         words = text.split()
         gaps = len(words) - 1
         if gaps < 0 or sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:

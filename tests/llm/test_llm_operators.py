@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -38,14 +39,12 @@ def none(spark):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_vocabulary("byte_bpe_50k.json"))
 
 
 def test_byte_bpe_is_the_library():
     t, own = library(), tokens.byte_bpe(tokens.default_vocabulary("byte_bpe_50k.json"))
-    for text in [*texts(3000), *texts(500, 1, "ab \n's*1é", 400), "<|endoftext|> a", "it's  don't"]:
+    for text in [*texts(3000), *texts(500, 1, "ab \n's*1é", 400), "<|endoftext|> a", "a <|endoftext|><|endoftext|>b", "it's  don't"]:
         assert np.frombuffer(own.encode_one(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
@@ -321,6 +320,54 @@ def test_main_text_by_host(spark):
     assert found[13]["text"] == "other layout with words"
 
 
+@pytest.mark.parametrize(("given", "kept"), [
+    ("<div class=comment-body>Reader says</div>", ""), ("<div class='sidebar-content'>no</div>", ""), ("<p class=has-sidebar>yes</p>", "yes"),
+    ("<figure><figcaption>a caption</figcaption></figure>", "a caption"), ("<math><mi>x</mi></math>", "x"), ("<div class='content sidebar-left'>yes</div>", "yes"),
+    ("<div class='body comment'>no</div>", ""), ("<script>if (a < b) '<p>'</script>", ""), ("<!-- <p>no</p> -->", ""), ("<img alt='a > b'>yes", "yes"),
+])
+def test_what_an_article_keeps(given, kept):
+    around = "<article class=post><p>First of all the words that stand here.</p>{}</article>"
+    assert pages.main_text(around.format(given), None) == f"First of all the words that stand here. {kept}".strip()
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 60_000, "<div>" * 30_000 + "</p>" * 30_000, "<b>" * 30_000 + "<p>x" * 30_000, '<a "x" ' * 50_000 + '">'])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    pages.main_text(page, None)
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("text", ["a" * 500_000 + " x@y.com", "a@" * 100_000, "_._" * 200_000, "token = " + "a1" * 100_000])
+def test_hostile_texts_take_linear_time(text):
+    began = time.process_time()
+    pseudonyms.pseudonymise(text, pseudonyms.Permutation(b"k"))
+    assert time.process_time() - began < 10
+
+
+def test_identity_numbers_stay_valid_and_addresses_linked():
+    p, rng = pseudonyms.Permutation(b"k"), random.Random(8)
+    for _ in range(500):
+        given = f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}{rng.randint(1, 99):02d}{rng.randint(1, 9999):04d}"
+        out = pseudonyms.pseudonymise(f"id {given[:3]}-{given[3:5]}-{given[5:]}", p)[0][3:].replace("-", "")
+        assert pseudonyms._is_identity(out)
+    one, two = pseudonyms.pseudonymise("Ann@X.com ann@x.com", p)[0].split()
+    assert one.lower() == two and one != two
+
+
+def test_letters_and_long_words(spark):
+    vocabulary = languages.load_vocabulary(tokens.default_vocabulary("piece_bpe_32k.model"))
+    p = np.random.default_rng(0).random((len(vocabulary.pieces) + 1, 3)) * 1e-3
+    for word in ("abc", "straße" * 5, "ééa" * 20):
+        points = np.frombuffer(("▁" + word).encode("utf-32-le"), "<u4")[None]
+        whole = np.log(languages.forward(languages._grid(vocabulary, points, vocabulary.longest), p)[-1][0])
+        assert np.allclose(whole, languages.long_word_log(vocabulary, word, p))
+    index = {x: i for i, x in enumerate(vocabulary.pieces)}
+    assert all(vocabulary.find(vocabulary.hashes[[i]])[0] == i for i in index.values())
+    model = languages.fit_languages(language_rows(spark), F.lit(True))
+    rows = languages.predict_languages(spark.createDataFrame([(1, "½ ² Ⅷ ①"), (2, "the " + "q" * 5000)], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(rows)] == ["und", "en"]
+
+
 def brute_classes(rows, n, num):
     sets = []
     for _, text in rows:
