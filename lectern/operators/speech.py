@@ -29,15 +29,18 @@ def add_ed(phonemes: Column) -> Column:
 
 
 def apply_stress(phonemes: Column, stress: Column) -> Column:
-    """-2 and below: no stress; -1: main becomes secondary; 1 or more: an unstressed word gets main stress before its
-    first vowel; 2: secondary becomes main."""
+    """Below -1: no stress; -1, or 0 with a main stress: main becomes secondary; 0 to 1 without any: secondary before the
+    first vowel; from 1 on secondary becomes main where there is no main; above 1 without any: main before the first
+    vowel. A null stress, and a word without a vowel that would get one, stay."""
     first = rf"^([^{VOWELS}]*)([{VOWELS}])"
-    bare = ~phonemes.rlike("[ˈˌ]")
+    main, any_mark = phonemes.contains("ˈ"), phonemes.rlike("[ˈˌ]")
+    demoted = F.translate(F.translate(phonemes, "ˌ", ""), "ˈ", "ˌ")
     return (
-        F.when(stress <= -2, F.translate(phonemes, "ˈˌ", ""))
-        .when(stress < 0, F.translate(F.regexp_replace(phonemes, "ˌ", ""), "ˈ", "ˌ"))
-        .when((stress >= 1) & bare, F.regexp_replace(phonemes, first, "$1ˈ$2"))
-        .when((stress >= 2) & phonemes.contains("ˌ") & ~phonemes.contains("ˈ"), F.translate(phonemes, "ˌ", "ˈ"))
+        F.when(stress < -1, F.translate(phonemes, "ˈˌ", ""))
+        .when((stress == -1) | (stress.isin(0, -0.5) & main), demoted)
+        .when(stress.isin(0, 0.5, 1) & ~any_mark, F.regexp_replace(phonemes, first, "$1ˌ$2"))
+        .when((stress >= 1) & ~main & any_mark, F.translate(phonemes, "ˌ", "ˈ"))
+        .when((stress > 1) & ~any_mark, F.regexp_replace(phonemes, first, "$1ˈ$2"))
         .otherwise(phonemes)
     )
 
@@ -126,13 +129,29 @@ def long_split(sentence: str, most: int = 280) -> list[str]:
     return [p for p in (*map(str.strip, out), sentence[at:].strip()) if p]
 
 
-_STAMMER = frozenset("the a an and but i to".split())
-_DOUBLE = re.compile(r"\b(\w+)((?:,? +\1\b)+)", re.I)
+#: Words that grammar never doubles, and those of them that may end one clause and begin the next. Fixed values.
+STAMMERED, CLAUSE_EDGES = frozenset("the a an and but i to".split()), frozenset(("i", "to"))
+_DOUBLE = re.compile(r"(?<![\w'’])(\w+(?:['’]\w+)?)((?:,? +(?i:\1)(?![\w'’]))+)")
 
 
 def drop_stammers(text: str) -> str:
-    """Runs of a word that is never doubled in grammar, as one."""
-    return _DOUBLE.sub(lambda m: m[1] if m[1].lower() in _STAMMER else m[0], text)
+    """Runs of a word that is never doubled in grammar, or of a contraction, as one.
+
+    A comma between "I" or "to" and its repeat parts two clauses, and a repeat with a capital of its own begins a name;
+    both stay. A capital at the first of a run is that of a sentence."""
+
+    def once(m: re.Match) -> str:
+        word, repeats = m[1], re.findall(r"[^\s,]+", m[2])
+        low = word.lower()
+        if low not in STAMMERED and not ("'" in word or "’" in word):
+            return m[0]
+        if low in CLAUSE_EDGES and "," in m[2]:
+            return m[0]
+        if any(r not in (word, low) for r in repeats):
+            return m[0]
+        return word
+
+    return _DOUBLE.sub(once, text)
 
 
 def chunks(sentences: Column) -> Column:

@@ -72,10 +72,10 @@ class HtmlBlocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
         if self.skip:
-            self.skip += tag not in _VOID
+            self.skip += tag == self.skipped
             return
         if tag in _SKIP:
-            self.skip = 1
+            self.skip, self.skipped = int(tag not in _VOID), tag
             return
         if tag == "br":
             self.buffer.append("\n" if self.pre else "\x00")
@@ -124,8 +124,8 @@ class HtmlBlocks(HTMLParser):
         self.buffer.clear()
 
     def handle_endtag(self, tag):
-        if self.skip:
-            self.skip -= tag not in _VOID
+        if self.skip:  # other end tags may be left out, so only those of the skipped element count
+            self.skip -= tag == self.skipped
             return
         if tag == "tr" and self.cells is not None:
             self._cell()

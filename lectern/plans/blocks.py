@@ -51,7 +51,7 @@ def faithful_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stammers(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.concat(F.lit("The the, the q"), F.regexp_extract("text", r"^(\p{L}+)", 1), F.lit(" had had to to go and, and that that I I"))
+    text = F.concat(F.lit("The the, the q"), F.regexp_extract("text", r"^(\p{L}+)", 1), F.lit(" had had to to go and, and that that I I; I want to, to be honest, it's it's fine, neither do I, I think, listen to To Kill"))
     return table(spark, folder, "conversations").select("conv_id", "turn", S.tidied(text).alias("tidied"))
 
 
@@ -74,7 +74,7 @@ def pronunciations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stress_levels(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.sql(f"SELECT * FROM {values([(-2, 'ˌɪntəˈnɛt'), (-1, 'kˈæt'), (1, 'kæt'), (2, 'kˌæt'), (0, 'kˈæt')], 'stress, p')}")
+    rows = spark.sql(f"SELECT * FROM {values([(-2, 'ˌɪntəˈnɛt'), (-1, 'kˈæt'), (1, 'kæt'), (2, 'kˌæt'), (0, 'kˈæt'), (0, 'kæt'), (2, 'kæt'), (1, 'kˌæt'), (1, 'kˈæt'), (2, 'pst')], 'stress, p')}")
     return rows.select("stress", S.apply_stress(F.col("p"), F.col("stress")).alias("said"), S.us_to_gb(F.lit("kˈɑɹt əɹ bˈɔɹn")).alias("gb"))
 
 
@@ -109,9 +109,9 @@ UNION ALL SELECT o, unnest(range(1, n + 1)), 'item', 'line ' || unnest(a), unnes
 UNION ALL SELECT o, n + 1, 'paragraph', 'a quoted link', NULL, 1 FROM n UNION ALL SELECT o, n + 2, 'rule', '', NULL, 0 FROM n UNION ALL SELECT o, n + 3, 'paragraph', 'last line of it', NULL, 0 FROM n""",
     "voice_chunks": rf"""SELECT doc_id, true AS short, md5(regexp_replace(array_to_string({_SENTENCES}, ''), '\s', '', 'g')) AS text_md5 FROM documents""",
     "faithful_pairs": f"WITH w AS (SELECT conv_id, turn, len({_TURN_WORDS}) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN n <= 1 THEN n < 3 ELSE true END AS shorter, (n + 3) // 20 >= 3 AS longer FROM w",
-    "stammers": r"""SELECT conv_id, turn, 'The q' || regexp_extract(text, '^(\p{L}+)', 1) || ' had had to go and that that I' AS tidied FROM conversations""",
+    "stammers": r"""SELECT conv_id, turn, 'The q' || regexp_extract(text, '^(\p{L}+)', 1) || ' had had to go and that that I; I want to, to be honest, it''s fine, neither do I, I think, listen to To Kill' AS tidied FROM conversations""",
     "pronunciations": f"""SELECT * FROM {values([("cat", "kˈæt", "gold"), ("cats", "kˈæts", "stem"), ("dogs", "dˈɔɡz", "stem"), ("buses", "bˈʌsᵻz", "stem"), ("wanted", "wˈɑntᵻd", "stem"), ("walked", "wˈɔkt", "stem"), ("played", "plˈAd", "stem"), ("playing", "plˈAɪŋ", "stem"), ("the", "ðə", "gold"), ("zebra", "zˈibɹə", "fallback"), ("qwerty", None, "none")], "word, phonemes, source")}""",
-    "stress_levels": f"""SELECT * FROM {values([(-2, "ɪntənɛt", "kˈɑːt ə bˈɔːn"), (-1, "kˌæt", "kˈɑːt ə bˈɔːn"), (1, "kˈæt", "kˈɑːt ə bˈɔːn"), (2, "kˈæt", "kˈɑːt ə bˈɔːn"), (0, "kˈæt", "kˈɑːt ə bˈɔːn")], "stress, said, gb")}""",
+    "stress_levels": f"""SELECT * FROM {values([(-2, "ɪntənɛt", "kˈɑːt ə bˈɔːn"), (-1, "kˌæt", "kˈɑːt ə bˈɔːn"), *((k, said, "kˈɑːt ə bˈɔːn") for k, said in ((1, "kˌæt"), (2, "kˈæt"), (0, "kˌæt"), (0, "kˌæt"), (2, "kˈæt"), (1, "kˈæt"), (1, "kˈæt"), (2, "pst")))], "stress, said, gb")}""",
     "vowel_ahead": r"""WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '\p{L}+(?:[''’-]\p{L}+)*|\d+(?:[.,]\d+)*|[^\s\p{L}\d]') AS a FROM conversations), e AS (SELECT doc_id, unnest(a) AS w, unnest(range(len(a))) AS i FROM t),
 v AS (SELECT doc_id, first_value(CASE WHEN regexp_matches(w, '\p{L}') THEN lower(w[1]) IN ('a', 'e', 'i', 'o', 'u') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS x FROM e)
 SELECT doc_id, CAST(sum(CASE WHEN x IS NULL THEN NULL WHEN x THEN 1 ELSE 0 END) AS BIGINT) AS before_vowel, CAST(sum(CASE WHEN x IS NULL THEN NULL WHEN x THEN 0 ELSE 1 END) AS BIGINT) AS before_consonant, count(*) FILTER (WHERE x IS NULL) AS at_end FROM v GROUP BY doc_id""",

@@ -142,6 +142,38 @@ def test_workbook(spark, tmp_path):
     assert [(r["sheet"], r["row"], r["cells"]) for r in workbooks.read_workbooks(spark, str(tmp_path)).collect()] == [("S", 2, ["Name", None, "5"])]
 
 
+def test_workbook_follows_relationships(spark, tmp_path):
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = '<worksheet xmlns="{}"><sheetData><row r="1"><c r="AB1" t="inlineStr"><is><t>{}</t></is></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{r}"><sheets><sheet name="One" r:id="b"/><sheet name="Two" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet.format(ns, "second"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet.format(ns, "first"))
+    rows = workbooks.read_workbooks(spark, str(tmp_path)).collect()
+    assert [(x["sheet"], len(x["cells"]), x["cells"][-1]) for x in rows] == [("One", 28, "first"), ("Two", 28, "second")]
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", "<?xml version='1.0'?>" + " " * 5000 + "<!DOCTYPE x [<!ENTITY e 'x'>]><workbook/>")
+    with pytest.raises(ValueError, match="refused"):
+        list(workbooks.workbook_rows((tmp_path / "c.xlsx").read_bytes()))
+
+
+def test_text_after_a_skipped_element_stays():
+    found = structure.html_blocks("<nav><ul><li>Home<li>About</ul></nav><h1>T</h1><p>All this text</p><select><option>a<option>b</select>more")
+    assert [b.text for b in found] == ["T", "All this text", "more"]
+
+
+@pytest.mark.parametrize("text", ["I want to, to be honest", "neither do I, I think", "listen to To Kill", "he had had it", "that that"])
+def test_doubles_that_are_no_stammer(text):
+    assert speech.drop_stammers(text) == text
+
+
+@pytest.mark.parametrize(("text", "once"), [("it's it's fine", "it's fine"), ("The the end", "The end"), ("a, a and and, and b", "a and b"), ("I I go", "I go"), ("to to go", "to go")])
+def test_stammers(text, once):
+    assert speech.drop_stammers(text) == once
+
+
 def test_digit_shortcut_changes_no_result():
     cases = [t for t, _, _ in rules.CASES] + ["He lives in Boston, MA with us", "Boston, MA 02134", "Austin, TX"]
     for text in {c for t in cases for c in (re.sub(r"\d", "", t), re.sub(r"\d+ ?", "", t), re.sub(r"\d", "x", t))}:
