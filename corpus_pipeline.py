@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in four stages.
 
 Every stage gets what the one before kept, written as Parquet and read again, so that a lost executor costs no more than
-one stage. The first three return the columns of documents.
+one stage. The first three return the columns of documents. Null and empty texts are rejected by the first stage; repeated
+rows of one id, rows without id and very long texts go through all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("pseudonyms", pseudonyms), ("packing", packing)]
 
-#: The merges of a tokenizer, hashing into segments and forward sums are nothing that SQL can express; tests compare each
-#: stage with brute force.
+#: The merges of a tokenizer and forward sums are nothing that SQL can express; tests compare the operators that the
+#: stages call with brute force and libraries.
 ORACLE_SQL = None
 
 
