@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
@@ -68,6 +70,27 @@ class Scratch:
                 del self.paths[path]
 
 
+#: What this worker keeps from task to task: the models or caches of one operator.
+_kept: dict[Hashable, Any] = {}
+
+
+def release() -> None:
+    """Drops what the worker keeps, and gives free memory back to the machine. Workers outlive operators, so without this
+    the caches and the freed pages of one add to what the next one needs."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker's state under this key; it takes the place of any other operator's."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns, so that no other column of the input can clash with an operator's own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_and_text, slices
+from .common import Scratch, id_and_text, release, slices
 from .components import connected_components
 from .shingles import Threshold, mix, set_hashes, shingle_sets, signatures
 
@@ -102,6 +102,7 @@ def describe(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("signature", pa.int64()), ("times", pa.int64())])
         waiting: list[np.ndarray] = []
         seen: set[int] = set()
+        release()
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(waiting), return_counts=True)
@@ -144,6 +145,7 @@ def index(docs: DataFrame, n: int, threshold: Threshold, hot: tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        release()
         for part in slices(batches, most_bytes=SLICE):
             hashes, sizes = shingle_sets(part.column("text").to_pylist(), n)
             hashes, sizes, nodes = _unseen(hashes, sizes, set_hashes(hashes, sizes), seen)
@@ -158,6 +160,7 @@ def _in_blocks(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        release()
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 held.append(batch.slice(begin, 256))
@@ -281,6 +284,7 @@ class JaccardJoin:
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for part in slices(batches, most_bytes=SLICE):
                 hashes, sizes = shingle_sets(part.column("text").to_pylist(), n)
                 cuts = np.append(0, np.cumsum(sizes))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, kept, slices
 from .tokens import default_vocabulary
 
 #: Texts of each language that the fit takes at most, on average (all, where there are fewer), and rounds of the fit.
@@ -262,9 +262,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def fit_languages(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None, sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
     """Fits the models on texts where `learn` holds and the language is not null: a sample by a hash of the id, of
     sample_texts texts of each language on average, or all that there are. The sample's words are counted in Spark; what
@@ -305,11 +302,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, id_col: str = "d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.key not in _scorers:
-            _scorers.clear()
-            _scorers[model.key] = Scorer(model)
+        scorer = kept(("languages", model.key), lambda: Scorer(model))
         for part in slices(batches):
-            found = _scorers[model.key].predict(part.column("text").to_pylist())
+            found = scorer.predict(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -320,11 +315,9 @@ def keep_predicted(docs: DataFrame, model: LanguageModel, *, text_col: str = "te
     null texts and those without a letter. Repeated rows and null ids pass like others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.key not in _scorers:
-            _scorers.clear()
-            _scorers[model.key] = Scorer(model)
+        scorer = kept(("languages", model.key), lambda: Scorer(model))
         for part in slices(batches, text_col):
-            found = _scorers[model.key].predict(part.column(text_col).to_pylist())
+            found = scorer.predict(part.column(text_col).to_pylist())
             yield part.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

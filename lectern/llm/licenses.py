@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, kept, slices
 
 #: Phrases and labels of the base search. Fixed values.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -110,9 +110,6 @@ def _joined(windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     yield begin, end
 
 
-_searches: dict[tuple, NoticeSearch] = {}
-
-
 def find_notices(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str, int]] = NOTICES) -> DataFrame:
     """doc_id, n_words, and spans (array of first, words, label, edits, likeness, base), in order of place.
 
@@ -122,9 +119,7 @@ def find_notices(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     key = (tuple(phrases), tuple(notices))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _searches:
-            _searches[key] = NoticeSearch(*key)
-        search = _searches[key]
+        search = kept(("notices", key), lambda: NoticeSearch(*key))
         kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("edits", pa.int64()), ("likeness", pa.float64()), ("base", pa.bool_())]))
         for part in slices(batches):
             lines = [search.words(t) for t in part.column("text").to_pylist()]

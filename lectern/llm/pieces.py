@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, kept, slices
 from .tokens import default_vocabulary
 
 _MARK = "▁"  # what the library writes for a space
@@ -219,14 +219,9 @@ def _with_runs(words: list[str]) -> list[str]:
     return out
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
     """The worker's model of a vocabulary file, kept between tasks."""
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return kept(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_and_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, add_end: bool = True) -> DataFrame:

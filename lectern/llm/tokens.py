@@ -13,6 +13,8 @@ from struct import pack
 
 import numpy as np
 
+from .common import kept
+
 #: White space as the vocabulary's splitting pattern has it (Unicode's White_Space property). Fixed values.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: The splitting pattern never joins characters across these chunks: one space goes to the word after it, and of a longer
@@ -114,11 +116,6 @@ class ByteBpe:
         return [self.encode_one(t) for t in texts]
 
 
-_encoders: dict[str, ByteBpe] = {}
-
-
 def byte_bpe(path: str) -> ByteBpe:
     """The worker's encoder for a vocabulary file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = ByteBpe(path)
-    return _encoders[path]
+    return kept(("byte_bpe", path), lambda: ByteBpe(path))
