@@ -74,13 +74,18 @@ class Scratch:
 _kept: dict[Hashable, Any] = {}
 
 
+def trim() -> None:
+    """Gives free memory back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
 def release() -> None:
-    """Drops what the worker keeps, and gives free memory back to the machine. Workers outlive operators, so without this
-    the caches and the freed pages of one add to what the next one needs."""
+    """Drops what the worker keeps. Workers outlive operators, so without this the caches of one add to what the next one
+    needs."""
     _kept.clear()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    trim()
 
 
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
@@ -108,3 +113,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
             total += n
         if begin < len(sizes):
             yield batch.slice(begin)
+    trim()  # an idle worker holds no more than it keeps
