@@ -23,8 +23,8 @@ _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The splitting pattern for characters below U+0250, whose classes never change. Fixed values.
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: What a worker keeps at most: some 100 bytes a part. A part longer than CACHE_CHARS is encoded each time.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 300_000, 200_000, 64
+#: What a worker keeps at most: some 200 bytes a part. A part longer than CACHE_CHARS is encoded each time.
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 100_000, 66_000, 64
 
 
 def default_vocabulary(name: str) -> str:
