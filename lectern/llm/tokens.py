@@ -23,8 +23,11 @@ _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The splitting pattern for characters below U+0250, whose classes never change. Fixed values.
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: What a worker keeps at most: some 200 bytes a part. A part longer than CACHE_CHARS is encoded each time.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 100_000, 66_000, 64
+#: Marks that stay a piece of their own after a word of letters.
+_MARKS = frozenset(",.;:!?")
+#: What a worker keeps at most: two generations of parts, some 200 bytes each. A part longer than CACHE_CHARS is encoded
+#: each time.
+CACHE_WORDS, CACHE_FIRST, CACHE_CHARS = 87_000, 10_000, 64
 
 
 def default_vocabulary(name: str) -> str:
@@ -42,18 +45,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """From a part of text to its ids; a missing part is encoded by `make` and kept."""
+    """From a part of text to its ids; a missing part is encoded by `make`, which also says whether to keep it.
+
+    Parts come in two generations: when the young one is full, it takes the place of the old one, and parts of the old
+    one that are met again become young. So frequent parts stay.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.make(part)
-        if len(part) <= CACHE_CHARS:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = ids
+        ids = self.old.get(part)
+        if ids is None:
+            ids, keep = self.make(part)
+            if not keep:
+                return ids
+        if len(self) >= self.most:
+            self.old.clear()
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
         return ids
 
 
@@ -68,9 +80,8 @@ class ByteBpe:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.piece_model = self.tokenizer.model
-        self.pieces = _Cache(self._piece, CACHE_PIECES)
-        self.first = _Cache(self._chunk, CACHE_WORDS // 6)  # words that no space stands before
-        self.words = _Cache(self._word, CACHE_WORDS)
+        self.first = _Cache(lambda part: (self._chunk(part), len(part) <= CACHE_CHARS), CACHE_FIRST)  # parts that no space stands before
+        self.words = _Cache(self._word, CACHE_WORDS)  # words after a space, which is left out of the key
         self.newline = self._library("\n")
 
     def _library(self, text: str) -> bytes:
@@ -83,18 +94,27 @@ class ByteBpe:
             shown = piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([pack("<I", t.id) for t in self.piece_model.tokenize(shown)])
 
-    def _word(self, word: str) -> bytes:
-        chunk = " " + word
-        if word.isalpha() and word.isascii():
-            return self._piece(chunk) if len(word) <= CACHE_CHARS else self._library(chunk)
-        return self._chunk(chunk)
+    def _word(self, word: str) -> tuple[bytes, bool]:
+        keep = len(word) <= CACHE_CHARS
+        if not keep or not word.isascii() and max(word) >= "ɐ":
+            return self._chunk(" " + word), keep
+        if word.isalpha():
+            return self._piece(" " + word), True
+        if word[-1:] in _MARKS and word[:-1].isalpha():  # the word itself and the mark are kept already, or will be
+            return self.words[word[:-1]] + self.first[word[-1]], False
+        return self._chunk(" " + word), True
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
         if len(chunk) > 4096 or not chunk.isascii() and max(chunk) >= "ɐ":
             return self._library(chunk)
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk)))
+        found = _PIECE.findall(chunk)
+        return self._piece(chunk) if len(found) == 1 else self._joined(found)
+
+    def _joined(self, parts: list[str]) -> bytes:
+        words, first = self.words, self.first
+        return b"".join([words[p[1:]] if p[0] == " " and not p.isspace() else first[p] for p in parts])
 
     def encode_one(self, text: str | None) -> bytes:
         if not text:
@@ -104,7 +124,7 @@ class ByteBpe:
         words = text.split()
         gaps = len(words) - 1
         if gaps < 0 or sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
-            return b"".join(map(self.first.__getitem__, _CHUNK.findall(text)))
+            return self._joined(_CHUNK.findall(text))
         out = []
         for line in text.split("\n"):  # one space or one line end between any two words
             head, *rest = line.split(" ")

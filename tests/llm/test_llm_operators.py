@@ -48,6 +48,16 @@ def test_byte_bpe_is_the_library():
         assert np.frombuffer(own.encode_one(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_bpe_with_marks_and_full_caches(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    monkeypatch.setattr(tokens, "CACHE_FIRST", 2)
+    t, own = library(), tokens.ByteBpe(tokens.default_vocabulary("byte_bpe_50k.json"))
+    some = ["hend, hend. hend; a, \n, b\nhend, c:", "été, naïve. ÿ; ɐbc, xɐ, 12. a.b, (a), it's, ... ,, é,", "a  b\n\n c , d .\x1c e\x85f", "x" * 70 + ", " + "é" * 70 + "; y"]
+    for text in [*some, *texts(2000, 7, "ab,.;é'1 \n", 60), *some]:
+        assert np.frombuffer(own.encode_one(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert max(len(own.words), len(own.words.old)) <= 3 and max(len(own.first), len(own.first.old)) <= 2
+
+
 def test_pieces_are_the_library():
     import sentencepiece
 
