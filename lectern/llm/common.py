@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Texts handled together inside an Arrow batch, so that temporary arrays stay small however many rows a batch has.
 SLICE_ROWS = 256
 SLICE_BYTES = 1 << 22
+#: Bytes in an Arrow batch between the JVM and Python, which each hold some copies of one for every task.
+BATCH_BYTES = 1 << 22
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -96,8 +99,17 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to BATCH_BYTES; a lower limit stays. Spark's own limit of
+    64 MB gives batches of 10,000 whole texts. How rows are dealt to batches changes no result."""
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    if not 0 < jvm.byteStringAsBytes(spark.conf.get(_BATCH_SETTING)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns, so that no other column of the input can clash with an operator's own."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kept, slices
+from .common import id_and_text, kept, slices, small_batches
 from .tokens import default_vocabulary
 
 #: Texts of each language that the fit takes at most, on average (all, where there are fewer), and rounds of the fit.
@@ -320,6 +320,7 @@ def keep_predicted(docs: DataFrame, model: LanguageModel, *, text_col: str = "te
             found = scorer.predict(part.column(text_col).to_pylist())
             yield part.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 
 #: Hosts whose winning paths may be sent to every executor (some 100 bytes each); beyond it the pages are shuffled by host.
 BROADCAST_HOSTS = 100_000
@@ -266,6 +266,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
                 paths.append(page.path_of(best_container(page)) or None)
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(paths, pa.string())], names=["host", "path"])
 
+    small_batches(pages.sparkSession)
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string").where("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
     return counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("less"), "path")).alias("best")).select("host", "best.path", (-F.col("best.less")).alias("votes"))

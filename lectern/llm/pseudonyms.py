@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, slices, small_batches
 
 #: Where the session names the key of the pseudonyms. Without it, a key is drawn that nobody keeps: values stay linked
 #: within a session, and nothing can be undone.
@@ -280,6 +280,7 @@ def replace_texts(docs: DataFrame, *, text_col: str = "text", key: bytes | None
             texts = pa.array([pseudonymise(t, permutation)[0] for t in part.column(text_col).to_pylist()], pa.string())
             yield part.set_column(part.schema.get_field_index(text_col), text_col, texts)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
