@@ -142,9 +142,9 @@ def numeric_date(first: Column, second: Column, year_: Column, british: bool) ->
 
 
 def roman(n: Column) -> Column:
-    """Canonical Roman numeral of 1 to 3999."""
+    """Canonical Roman numeral of 1 to 3999; null for any other number."""
     digits = ((1000, " M MM MMM"), (100, " C CC CCC CD D DC DCC DCCC CM"), (10, " X XX XXX XL L LX LXX LXXX XC"), (1, " I II III IV V VI VII VIII IX"))
-    return F.concat(*(_pick(names.split(" "), _div(n, value) % 10) for value, names in digits))
+    return F.when(n.between(1, 3999), F.concat(*(_pick(names.split(" "), _div(n, value) % 10) for value, names in digits)))
 
 
 def roman_value(text: Column) -> Column:

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import numbers as N
 from lectern.functions import text as T
 from lectern.operators import names, normalize, speech, structure
 from lectern.plans import blocks, rules, texts
@@ -40,6 +41,13 @@ def test_roman(text, value):
     assert normalize.roman_number(text) == value
 
 
+def test_roman_columns_beyond_3999_have_no_numeral(spark):
+    rows = spark.createDataFrame([(3995,), (3999,), (4000,), (0,), (-7,), (None,)], "n long")
+    found = rows.select(N.roman(F.col("n")).alias("r"), N.roman_value(F.concat(N.roman(F.col("n")), F.lit("IIII"))).alias("misspelt")).collect()
+    assert [tuple(r) for r in found] == [("MMMCMXCV", None), ("MMMCMXCIX", None), *[(None, None)] * 4]
+    assert spark.range(1).select(N.roman_value(F.lit("MMMMMMMMMMMI")).alias("v")).first()["v"] is None
+
+
 def test_html_blocks():
     source = "<h2>T</h2><p>a <b>b</b><br><br>c</p><ul><li>x<ol start=3><li>y</ol></ul><blockquote><p>q</blockquote><pre>l1\nl2</pre><table><tr><th>h</th><th>i</th></tr><tr><td>1<td>2</tr></table><hr><script>no</script><img alt='A cat'>"
     found = [(b.kind, b.text, b.level, b.number, b.depth, b.quote) for b in structure.html_blocks(source)]
