@@ -86,27 +86,42 @@ def spoken(words: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(words, "[-,]", F.lit(" ")), r" +(?:and +)?", " ")
 
 
-def dollars(amount: Column) -> Column:
-    """A price in dollars: whole, cents, price ("4 99", "4 oh 5") or, from 1,000 and on whole hundreds, the full form."""
+def hundredths(amount: Column) -> Column:
+    """The amount's nearest hundredth by its product with 100, as SQL rounds: 1.005 is 1.0 (its product is just below
+    100.5), where rounding of the shortest decimal would give 1.01."""
+    return F.round(amount * 100) / 100
+
+
+def _units_and_cents(amount: Column) -> tuple[Column, Column]:
+    """Whole units and hundredths, both with the amount's sign."""
     cents_all = F.round(amount * 100).cast("long")
-    units, cents = _div(cents_all, 100), cents_all % 100
+    return ((cents_all - cents_all % 100) / 100).cast("long"), cents_all % 100
+
+
+def _said(*parts: Column) -> Column:
+    """The parts with spaces between; null if one of them is."""
+    return F.concat(parts[0], *(x for p in parts[1:] for x in (F.lit(" "), p)))
+
+
+def dollars(amount: Column) -> Column:
+    """A price in dollars: whole, cents, price ("4 99", "4 oh 5") or, from 1,000 and on whole hundreds, the full form. Null
+    for null."""
+    units, cents = _units_and_cents(amount)
     unit = F.when(units == 1, F.lit("dollar")).otherwise(F.lit("dollars"))
     cent = F.when(cents == 1, F.lit("cent")).otherwise(F.lit("cents"))
-    say = lambda *parts: F.concat_ws(" ", *parts)
     return (
-        F.when(cents == 0, say(units.cast("string"), unit))
-        .when(units == 0, say(cents.cast("string"), cent))
-        .when((units >= 1000) | (units % 100 == 0), say(units.cast("string"), unit, F.lit("and"), cents.cast("string"), cent))
-        .otherwise(say(units.cast("string"), F.when(cents < 10, F.concat(F.lit("oh "), cents.cast("string"))).otherwise(cents.cast("string"))))
+        F.when(cents == 0, _said(units.cast("string"), unit))
+        .when(units == 0, _said(cents.cast("string"), cent))
+        .when((units >= 1000) | (units % 100 == 0), _said(units.cast("string"), unit, F.lit("and"), cents.cast("string"), cent))
+        .otherwise(_said(units.cast("string"), F.when(cents < 10, F.concat(F.lit("oh "), cents.cast("string"))).otherwise(cents.cast("string"))))
     )
 
 
 def pounds(amount: Column) -> Column:
-    """A price in pounds: the unit stands between, without "and" and pence."""
-    cents_all = F.round(amount * 100).cast("long")
-    units, cents = _div(cents_all, 100), cents_all % 100
+    """A price in pounds: the unit stands between, without "and" and pence. Null for null."""
+    units, cents = _units_and_cents(amount)
     unit = F.when(units == 1, F.lit("pound")).otherwise(F.lit("pounds"))
-    return F.when(cents == 0, F.concat_ws(" ", units.cast("string"), unit)).when(units == 0, F.concat_ws(" ", cents.cast("string"), F.when(cents == 1, F.lit("penny")).otherwise(F.lit("pence")))).otherwise(F.concat_ws(" ", units.cast("string"), unit, cents.cast("string")))
+    return F.when(cents == 0, _said(units.cast("string"), unit)).when(units == 0, _said(cents.cast("string"), F.when(cents == 1, F.lit("penny")).otherwise(F.lit("pence")))).otherwise(_said(units.cast("string"), unit, cents.cast("string")))
 
 
 def lakh_crore(n: Column) -> Column:

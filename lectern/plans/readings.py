@@ -25,8 +25,8 @@ def year_words(spark: SparkSession, folder: str) -> DataFrame:
 def money_readings(spark: SparkSession, folder: str) -> DataFrame:
     """Order totals as dollars, discounts as cents, whole and British forms."""
     price = F.col("l_extendedprice")
-    small = F.round(F.col("l_discount") + F.col("l_tax"), 2)
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", N.dollars(price).alias("dollars"), N.dollars(small).alias("small"), N.dollars(F.floor(price / 1000).cast("double")).alias("whole"), N.pounds(F.round(price / 10000, 2)).alias("pounds"))
+    small = N.hundredths(F.col("l_discount") + F.col("l_tax"))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", N.dollars(price).alias("dollars"), N.dollars(small).alias("small"), N.dollars(F.floor(price / 1000).cast("double")).alias("whole"), N.pounds(N.hundredths(price / 10000)).alias("pounds"))
 
 
 def money_ranges(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import numbers as N
 from lectern.functions import text as T
 from lectern.operators import names, normalize, speech, structure
-from lectern.plans import blocks, rules, texts
+from lectern.plans import blocks, readings, rules, texts
 from lectern.sources import lexicons, registers, workbooks
 from lectern.streaming import sessions
 
@@ -58,6 +58,16 @@ def test_html_blocks():
     ]
 
 
+def test_money_readings_round_as_their_sql(spark, tmp_path):
+    prices = [10050.0, 12650.0, 84150.0, 904.0, 1000.0, 999.995, 100.01, 50.0, 149.99, 10000.0, 2_350_000.5, 0.005, 0.0, -525.25, None]
+    cells = [(i, 1, p, d, t) for i, (p, (d, t)) in enumerate((p, s) for p in prices for s in ((0.1, 0.05), (0.0, 0.0), (1.0, 0.005), (0.29, 0.0), (0.01, None)))]
+    spark.createDataFrame(cells, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = readings.QUERIES["money_readings"](spark, str(tmp_path)).orderBy("l_orderkey").collect()
+    assert [tuple(r) for r in found] == duck.execute(f"SELECT * FROM ({readings.ORACLES['money_readings']}) ORDER BY l_orderkey").fetchall()
+
+
 @pytest.mark.parametrize("title", ["A&amp;&amp; b&amp", "A&am", "a & b", "x&copy y", "&amp;amp", "say &quot;A&quot", "&amp;&"])
 def test_html_headings_keep_references_without_semicolon(spark, tmp_path, title):
     page = f'<nav><a href="?a=1&copy=2">n</a></nav><h1>{title}</h1><p>x &amp y'
