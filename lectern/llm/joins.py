@@ -6,9 +6,10 @@
 2. A second pass indexes the nodes: the universe is partitioned by hash into segments, by bands of size; see shingles.py.
    Which segments a node takes, and whether with one-deletion neighbourhoods, is decided by what they cost.
 3. Nodes with a common signature are candidates. They are compared in blocks, of rows that come from the left against
-   rows from the right: the first step keeps the rows that sizes and sketches allow a link, the second verifies with whole
-   sets, nearest pairs first, and leaves out pairs that are connected already. So a block gives no more rows than it gets,
-   and no more links than a forest has.
+   rows from the right: the first step keeps the rows that sizes and sketches allow a link, or the pairs where they are
+   few, in a form that is the same whichever signature it came from, so that what many signatures share is kept once. The
+   second verifies with whole sets, nearest pairs first, and leaves out pairs that are connected already. So a block gives
+   no more rows than some times those it gets, and no more links than a forest has.
 4. At first the least node of each signature is a block's left side, then a few nodes of those signatures that still lie
    in several components, as long as that connects them; at last all nodes outside a signature's main component are
    compared with all its nodes, in tiles. The components of all links are the classes.
@@ -36,6 +37,8 @@ HOT, LOCAL_HOT, HOT_REPORTED, HOT_BATCH, HOT_KEPT = 48, 4, 2_048, 1_000_000, 16_
 TILE, TILE_SHINGLES = 512, 1 << 22
 #: Nodes that a signature with more than a tile of nodes outside its main component compares in a further round.
 HUBS = 8
+#: Candidate pairs for each row of a block up to which they are given as pairs.
+PAIRED = 2
 #: Rows and bytes of blocks that a worker handles together.
 HELD_ROWS, HELD_BYTES = 4_096, 1 << 24
 #: Bytes of text that are hashed together.
@@ -47,6 +50,8 @@ BROADCAST_ROWS = 500_000
 
 _BLOCK = "key long, tile int, other int, node long, size long, component long, main boolean, away boolean, is_left boolean, is_right boolean, sketch binary"
 _KEYS = ("key", "tile", "other")
+_PLACE = [c.split()[0] for c in _BLOCK.split(", ")][:-1]
+_HUB = ("hub", "hub_size", "hub_component")
 
 
 def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -155,6 +160,57 @@ def index(docs: DataFrame, n: int, threshold: Threshold, hot: tuple[np.ndarray,
     return docs.mapInArrow(run, "signature long, node long, size long, away boolean")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of rows of signature, node, size and away the different ones whose signature several nodes have, one of them not
+    away; with the least node that isn't away and its size. All rows are shuffled once, and a signature's are never held
+    at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        names = ["signature", "node", "size", "away", "least", "least_size"]
+        given: tuple | None = None  # of a signature that is given in part: itself, its last row, its least node
+
+        def give(signature: np.ndarray, node: np.ndarray, size: np.ndarray, away: np.ndarray) -> pa.RecordBatch:
+            begins = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+            counts = np.diff(np.append(begins, len(signature)))
+            several = np.minimum.reduceat(node, begins) != np.maximum.reduceat(node, begins)
+            has, least, least_size = ~away[begins], node[begins], size[begins]
+            if given and given[0] == signature[0]:
+                several[0], (has[0], least[0], least_size[0]) = True, given[2]
+            keep = np.repeat(several & has, counts)
+            columns = [signature, node, size, away, np.repeat(least, counts), np.repeat(least_size, counts)]
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4]]
+            new[3] = new[3].astype(bool)
+            new = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+            signature, node, _, away = new
+            fresh = np.append(True, (signature[1:] != signature[:-1]) | (node[1:] != node[:-1]) | (away[1:] != away[:-1]))
+            fresh[0] = not given or given[:2] != (signature[0], (node[0], away[0]))
+            new = [c[fresh] for c in new]
+            if not len(new[0]):
+                held = None
+                continue
+            # rows come by signature, those that aren't away first, and node
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            if cut:
+                yield give(*(c[:cut] for c in new))
+            held = [c[cut:] for c in new]
+            if len(held[0]) >= HELD_ROWS:  # more than two different rows are of several nodes
+                yield give(*held)
+                of = given[2] if given and given[0] == held[0][0] else (not held[3][0], held[1][0], held[2][0])
+                given, held = (held[0][-1], (held[1][-1], held[3][-1]), of), None
+        if held is not None and len(held[0]):
+            yield give(*held)
+
+    ordered = rows.repartition("signature").sortWithinPartitions("signature", "away", "node")
+    return ordered.mapInArrow(run, "signature long, node long, size long, away boolean, least long, least_size long")
+
+
 def _in_blocks(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """work on whole blocks, several at a time: tables whose rows come sorted by block and node."""
 
@@ -183,11 +239,7 @@ def _in_blocks(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: st
 def _candidates(table: pa.Table, threshold: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of a block, one from the left and one from the right, of different components, that sizes and
     sketches allow a link; and their sketches' distances."""
-    edge = np.zeros(table.num_rows, bool)
-    for c in _KEYS:
-        k = table.column(c).to_numpy()
-        edge |= np.append(True, k[1:] != k[:-1])
-    begins = np.flatnonzero(edge)
+    begins = np.flatnonzero(np.diff(_block_of(table), prepend=-1))
     ends = np.repeat(np.append(begins[1:], table.num_rows), np.diff(np.append(begins, table.num_rows)))
     size, component = (table.column(c).to_numpy() for c in ("size", "component"))
     away, left, right, main = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("away", "is_left", "is_right", "main"))
@@ -209,16 +261,45 @@ def _candidates(table: pa.Table, threshold: Threshold) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def _block_of(table: pa.Table) -> np.ndarray:
+    """The number of each row's block."""
+    edge = np.zeros(table.num_rows, bool)
+    for c in _KEYS:
+        k = table.column(c).to_numpy()
+        edge |= np.append(True, k[1:] != k[:-1])
+    return np.cumsum(edge) - 1
+
+
 def _linked_rows(blocks: DataFrame, threshold: Threshold) -> DataFrame:
-    """The rows of blocks that have a candidate."""
+    """What of blocks has a candidate, in a form that is the same whichever signature it came from: a few pairs as (hub,
+    node), with hub the smaller node; more than PAIRED a row as their rows, in a block named by its content."""
 
     def work(table: pa.Table) -> pa.Table:
         x, y, _ = _candidates(table, threshold)
+        block = _block_of(table)
         keep = np.zeros(table.num_rows, bool)
         keep[x] = keep[y] = True
-        return table.filter(pa.array(keep))
-
-    return _in_blocks(blocks, work, _BLOCK)
+        dense = np.bincount(block[x], minlength=block[-1] + 1) > PAIRED * np.bincount(block[keep], minlength=block[-1] + 1)
+        rows, paired = np.flatnonzero(keep & dense[block]), ~dense[block[x]]
+        node = table.column("node").to_numpy()
+        x, y = x[paired], y[paired]
+        hub, other = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+
+        content = table.column("node").to_numpy().view(np.uint64)[rows]
+        for salt, c in enumerate(("component", "away", "is_left", "is_right"), 1):
+            content = mix(content ^ mix(table.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[rows] + np.uint64(salt)))
+        names = np.zeros(block[-1] + 1, np.uint64)
+        np.add.at(names, block[rows], content)
+        plain = table.select(_PLACE).take(pa.array(rows))
+        plain = plain.set_column(0, "key", pa.array(mix(names)[block[rows]].view(np.int64))).set_column(1, "tile", pa.array(np.zeros(len(rows), np.int32))).set_column(2, "other", pa.array(np.zeros(len(rows), np.int32)))
+        for c in _HUB:
+            plain = plain.append_column(c, pa.nulls(len(rows), pa.int64()))
+        pairs = {c: pa.nulls(len(other), plain.schema.field(c).type) for c in _PLACE}
+        pairs |= {c: pa.array(table.column(c).to_numpy()[other]) for c in ("node", "size", "component")}
+        pairs |= {h: pa.array(table.column(c).to_numpy()[hub]) for h, c in zip(_HUB, ("node", "size", "component"), strict=True)}
+        return pa.concat_tables([plain, pa.table(pairs, schema=plain.schema)])
+
+    return _in_blocks(blocks, work, _BLOCK.removesuffix(", sketch binary") + "".join(f", {c} long" for c in _HUB))
 
 
 def _forest(blocks: DataFrame, threshold: Threshold) -> DataFrame:
@@ -229,12 +310,8 @@ def _forest(blocks: DataFrame, threshold: Threshold) -> DataFrame:
         order = np.argsort(apart, kind="stable")
         members = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
         node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
-        edge = np.zeros(table.num_rows, bool)
-        for c in _KEYS:
-            k = table.column(c).to_numpy()
-            edge |= np.append(True, k[1:] != k[:-1])
         # of one component within one block
-        names = np.unique(np.stack([np.cumsum(edge), component], 1), axis=0, return_inverse=True)[1].ravel().tolist()
+        names = np.unique(np.stack([_block_of(table), component], 1), axis=0, return_inverse=True)[1].ravel().tolist()
         parent = list(range(table.num_rows))
 
         def top(i: int) -> int:
@@ -272,15 +349,10 @@ class JaccardJoin:
 
     def posted(self, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """signature, node, size, away and the signature's least node that isn't away, where several nodes share one."""
-        every = index(self.docs, self.n, self.threshold, hot)
-        shared = every.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("signature")
-        shared = self.scratch.write(shared, "shared")
-        rows = self.scratch.write(every.join(self.bounded(shared), "signature").distinct(), "rows")
-        least = rows.where("not away").groupBy("signature").agg(F.min(F.struct("node", "size")).alias("least")).select("signature", F.col("least.node").alias("least"), F.col("least.size").alias("least_size"))
-        return self.scratch.write(rows.join(self.bounded(self.scratch.write(least, "least_of")), "signature"), "posted")
+        return self.scratch.write(_shared(index(self.docs, self.n, self.threshold, hot)), "posted")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """node and members (64-bit hashes, ascending) of the wanted nodes."""
+        """node, members (64-bit hashes, ascending) and sketch of the wanted nodes."""
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,19 +361,21 @@ class JaccardJoin:
                 hashes, sizes = shingle_sets(part.column("text").to_pylist(), n)
                 cuts = np.append(0, np.cumsum(sizes))
                 members = pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(hashes, sizes).view(np.int64)), members], names=["node", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(hashes, sizes).view(np.int64)), members, pa.array(_sketches(hashes, sizes), pa.binary())], names=["node", "members", "sketch"])
 
         wanted = self.scratch.write(self.nodes.join(wanted, "node").select("doc_id", "node"), "wanted")
         ids = self.bounded(wanted.where("doc_id is not null").select("doc_id").distinct())
         # a node is fetched by its least id; nodes without any are looked for among the texts without id
         texts = self.docs.join(ids, "doc_id", "left_semi").union(self.docs.where("doc_id is null")).select("text")
-        found = texts.mapInArrow(run, "node long, members binary").join(self.bounded(wanted.select("node")), "node", "left_semi")
+        found = texts.mapInArrow(run, "node long, members binary, sketch binary").join(self.bounded(wanted.select("node")), "node", "left_semi")
         return self.scratch.write(found.dropDuplicates(["node"]), "sets")
 
     def links(self, blocks: DataFrame) -> DataFrame:
         """The links in blocks of (key, tile, other, node, size, component, main, away, is_left, is_right)."""
-        columns = [c.split()[0] for c in _BLOCK.split(", ")]
-        rows = self.scratch.write(_linked_rows(blocks.join(self.nodes.select("node", "sketch"), "node").select(*columns), self.threshold), "candidates")
+        columns = [*_PLACE, "sketch"]
+        rows = _linked_rows(blocks.join(self.nodes.select("node", "sketch"), "node").select(*columns), self.threshold)
+        rows = self.scratch.write(rows.distinct(), "candidates")
+        rows = rows.where("hub is null").select(*_PLACE).union(self.star_blocks(rows.where("hub is not null").select(*_HUB, "node", "size", "component")))
         sets = self.sets_of(rows.select("node").distinct())
         return self.scratch.write(_forest(rows.join(sets, "node").select(*columns, "members"), self.threshold).distinct(), "found")
 
@@ -309,17 +383,21 @@ class JaccardJoin:
         """The links among pairs of a left node with others: (hub, hub_size, node, size)."""
         alike = self.threshold.den * F.least("hub_size", "size") >= self.threshold.num * F.greatest("hub_size", "size")
         pairs = self.scratch.write(pairs.where(alike & (F.col("hub") != F.col("node"))).distinct(), "pairs")
+        return self.links(self.star_blocks(pairs.select("hub", "hub_size", F.col("hub").alias("hub_component"), "node", "size", F.col("node").alias("component"))))
+
+    def star_blocks(self, pairs: DataFrame) -> DataFrame:
+        """Blocks of different pairs (hub, hub_size, hub_component, node, size, component), of a hub with its nodes."""
         side = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_SHINGLES) / F.max("hub_size"))))
         tiles = pairs.groupBy("hub").agg(F.ceil(F.count("*") / side).cast("int").alias("tiles")).where("tiles > 1")
         tiles = self.bounded(self.scratch.write(tiles, "tiles"))
         placed = pairs.join(tiles, "hub", "left").withColumn("tile", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
 
-        def rows(node: str, size: str, is_left: bool) -> list[Column]:
+        def rows(node: str, size: str, component: str, is_left: bool) -> list[Column]:
             flags = (F.lit(False).alias("main"), F.lit(False).alias("away"), F.lit(is_left).alias("is_left"), F.lit(not is_left).alias("is_right"))
-            return [F.col("hub").alias("key"), "tile", F.lit(0).alias("other"), F.col(node).alias("node"), F.col(size).alias("size"), F.col(node).alias("component"), *flags]
+            return [F.col("hub").alias("key"), "tile", F.lit(-1).alias("other"), F.col(node).alias("node"), F.col(size).alias("size"), F.col(component).alias("component"), *flags]
 
-        hubs = placed.select(*rows("hub", "hub_size", True)).distinct()
-        return self.links(hubs.union(placed.select(*rows("node", "size", False))))
+        hubs = placed.select(*rows("hub", "hub_size", "hub_component", True)).distinct()
+        return hubs.union(placed.select(*rows("node", "size", "component", False)))
 
     def placed(self, posted: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The nodes of all signatures with their components; and for each signature that still has several of them its

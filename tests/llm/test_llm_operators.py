@@ -471,6 +471,54 @@ def test_near_copies_without_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (0, 3), (0, 3), (1, 1), (3, 3)]
 
 
+def test_jaccard_candidates_of_many_signatures_are_compared_once(spark, monkeypatch):
+    """Nodes that meet under 40 signatures are candidates once: a pair as one row, a dense block as its rows."""
+    common = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*common, *(f"own{i}x{k}" for k in range(4))])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    threshold = shingles.Threshold(80, 100)
+    written, keep = {}, joins.Scratch.write
+
+    def write(self, df, name):
+        written[name] = keep(self, df, name)
+        return written[name]
+
+    monkeypatch.setattr(joins.Scratch, "write", write)
+    join = joins.JaccardJoin(joins.Scratch(spark), docs, 5, threshold)
+    join.nodes = joins.describe(docs, 5, threshold).where("doc_id is not null").select("doc_id", "node", "size", "sketch").localCheckpoint()
+    nodes = join.nodes.selectExpr("node", "size", "doc_id", "node as component", "false as main", "false as away", "true as is_left", "true as is_right")
+    blocks = nodes.join(spark.range(40).withColumnRenamed("id", "k"), (F.col("k") < 20) | (F.col("doc_id") < 2))
+    blocks = blocks.selectExpr("k as key", "0 as tile", "0 as other", "node", "size", "component", "main", "away", "is_left", "is_right")
+    links = join.links(blocks)
+    assert written["candidates"].count() == 12 + 1
+    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert len(found) == 12 and len(set(found.values())) == 1
+
+
+@pytest.mark.parametrize("held", [3, 4_096])
+def test_jaccard_shared_signatures(spark, monkeypatch, held):
+    """Single, repeated, away and very frequent ones, in Arrow batches of few rows."""
+    rng = random.Random(5)
+    rows = [(s, n, abs(n) % 7, a) for s, n, a in ((rng.randint(-40, 40), rng.randint(-30, 30), rng.random() < 0.6) for _ in range(900))]
+    rows += [(77, 5, 5, False), (77, 5, 5, True), (77, 5, 5, False), (78, 1, 1, True), (78, 2, 2, True), *((99, n, abs(n) % 7, n % 3 > 0) for n in range(-150, 150)), *[(98, 4, 4, False)] * 60]
+    groups = defaultdict(set)
+    for s, n, z, a in rows:
+        groups[s].add((n, z, a))
+    expected = []
+    for s, members in groups.items():
+        home = sorted((n, z) for n, z, a in members if not a)
+        if home and len({n for n, _, _ in members}) > 1:
+            expected += [(s, n, z, a, *home[0]) for n, z, a in members]
+    monkeypatch.setattr(joins, "HELD_ROWS", held)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = joins._shared(spark.createDataFrame(rows, "signature long, node long, size long, away boolean").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_jaccard_empty_and_odd(spark, odd, none):
     assert joins.jaccard_classes(none).count() == 0
     rows = joins.jaccard_classes(odd).collect()
