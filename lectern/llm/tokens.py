@@ -1,11 +1,13 @@
-"""Byte-level BPE ids of whole texts, by the tokenizers library, with repeated words encoded once per worker.
+"""Byte-level BPE ids of whole texts, as the tokenizers library gives them, with repeated words encoded once per worker.
 
-A text is cut where the vocabulary's own splitting pattern always cuts, each different part goes through the library's
-model once, and the ids are put together again. The result is that of encoding the whole text; only repeats are spared.
+A text is cut where the vocabulary's own splitting pattern always cuts, each different part is encoded once, and the ids
+are put together again. New words of letters, most of all new parts, go through the vocabulary's merges together in numpy;
+the others go through the library. The result is that of encoding the whole text; only repeats are spared.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -25,9 +27,17 @@ _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\x
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Marks that stay a piece of their own after a word of letters.
 _MARKS = frozenset(",.;:!?")
+#: Signs below U+0080, without the apostrophe, which after letters form a piece of their own.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What a worker keeps at most: two generations of parts, some 200 bytes each. A part longer than CACHE_CHARS is encoded
 #: each time.
 CACHE_WORDS, CACHE_FIRST, CACHE_CHARS = 87_000, 10_000, 64
+#: Among words between spaces, those of letters of fixed classes, perhaps with signs after them.
+_PLAIN = re.compile(rf"(?<= )[{_LETTER}]{{1,{CACHE_CHARS // 2}}}+[{re.escape(_SIGNS)}]{{0,{CACHE_CHARS // 2}}}+(?= )")
+#: Characters of texts whose new words are merged together; a longer text goes alone.
+GROUP_CHARS = 1 << 20
+#: Words are merged beside others of like length: at most so many bytes, a space included.
+_WIDTHS = (7, 10, 14, 20, 32, 2 * CACHE_CHARS + 1)
 
 
 def default_vocabulary(name: str) -> str:
@@ -62,12 +72,142 @@ class _Cache(dict):
             if not keep:
                 return ids
         if len(self) >= self.most:
-            self.old.clear()
-            self.old = dict(self)
-            self.clear()
+            self._age()
         self[part] = ids
         return ids
 
+    def _age(self) -> None:
+        self.old.clear()
+        self.old = dict(self)
+        self.clear()
+
+    def add(self, parts: set[str], make_all) -> None:
+        """Makes these parts young; `make_all` encodes those that are in neither generation. Does nothing if they are more
+        than a generation holds."""
+        new = parts.difference(self)
+        if len(self) + len(new) > self.most:
+            if len(parts) > self.most:
+                return
+            self._age()
+            new = parts
+        known = {p: ids for p, ids in zip(new, map(self.old.get, new), strict=True) if ids is not None}
+        self.update(known)
+        new = list(new.difference(known))
+        if new:
+            self.update(zip(new, make_all(new), strict=True))
+
+
+class Merges:
+    """The merges of a byte-level BPE model, for many words side by side.
+
+    Words are the columns of an array, their symbols its rows. In each round the best pair of every column, the leftmost of
+    the least rank, becomes one symbol, until no column has a pair. Rows of merged symbols stay, empty, and each row knows
+    the filled ones above and below it.
+    """
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], letters: dict[int, str]):
+        found = {(vocab[a], vocab[b]): (i, vocab[a + b]) for i, (a, b) in enumerate(merges)}
+        self.none = 1 + max(vocab.values())  # stands for no symbol; no pair has it
+        self.no_rank = len(merges)
+        self.into = np.zeros(len(merges) + 1, np.int32)
+        pairs = np.array(list(found), np.uint64).reshape(-1, 2)
+        ranks = np.array([i for i, _ in found.values()], np.int32)
+        self.into[ranks] = [new for _, new in found.values()]
+        keys = pairs[:, 0] << np.uint64(32) | pairs[:, 1]
+        # a hash table; keys that find their slot taken are in sorted arrays beside it
+        self.shift = np.uint64(64 - max(2 * len(keys), 2).bit_length() - 1)
+        slots = self._slots(keys)
+        self.slot_key, self.slot_rank = (np.full(1 << (64 - int(self.shift)), x, t) for x, t in ((~np.uint64(0), np.uint64), (self.no_rank, np.int32)))
+        at = np.unique(slots, return_index=True)[1]
+        self.slot_key[slots[at]], self.slot_rank[slots[at]] = keys[at], ranks[at]
+        rest = np.delete(np.arange(len(keys)), at)
+        rest = rest[np.argsort(keys[rest])]
+        self.crowded = np.zeros(len(self.slot_key), bool)
+        self.crowded[slots[rest]] = True
+        self.rest_key, self.rest_rank = np.append(keys[rest], ~np.uint64(0)), np.append(ranks[rest], self.no_rank).astype(np.int32)
+        # single bytes, and 256 for none
+        self.byte = np.array([vocab[letters[b]] for b in range(256)] + [self.none], np.int32)
+        self.byte_rank = self._ranks(np.repeat(self.byte, 257), np.tile(self.byte, 257))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; no_rank where it doesn't merge."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slots = self._slots(keys)
+        hit = self.slot_key[slots] == keys
+        ranks = np.where(hit, self.slot_rank[slots], np.int32(self.no_rank))
+        again = np.flatnonzero(~hit & self.crowded[slots])
+        if len(again):
+            at = np.searchsorted(self.rest_key, keys[again])
+            ranks[again] = np.where(self.rest_key[at] == keys[again], self.rest_rank[at], self.no_rank)
+        return ranks
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space; each word is one piece of the splitting pattern."""
+        data = np.frombuffer(" ".join(["", *words]).encode(), np.uint8).astype(np.int32)
+        begins = np.flatnonzero(data == 32)
+        sizes = np.diff(np.append(begins, len(data)))
+        out: list[bytes] = [b""] * len(words)
+        least = 0
+        for most in (*_WIDTHS, max(_WIDTHS[-1], int(sizes.max(initial=0)))):
+            chosen = np.flatnonzero((sizes > least) & (sizes <= most))
+            least = most
+            if len(chosen):
+                rows = np.arange(min(most, int(sizes[chosen].max())))[:, None]
+                held = rows < sizes[chosen]
+                codes = np.where(held, data[np.minimum(begins[chosen] + rows, len(data) - 1)], 256)
+                self._block(codes, chosen, out)
+        return out
+
+    def _block(self, codes: np.ndarray, chosen: np.ndarray, out: list[bytes]) -> None:
+        height, n = codes.shape
+        bits = height.bit_length()
+        none = np.full((1, n), self.none, np.int32)
+        sym = np.concatenate([none, self.byte[codes], none])  # an empty row above and below
+        ranks = np.full((height + 2, n), self.no_rank, np.int32)
+        ranks[1:height] = self.byte_rank[codes[:-1] * 257 + codes[1:]]
+        place = np.arange(height + 2, dtype=np.int32)[:, None]
+        best = (ranks.astype(np.int64) << bits + 1) | place
+        up, down = (np.repeat(x, n, 1) for x in (np.maximum(place - 1, 0), np.minimum(place + 1, height + 1)))
+        end = np.int64(self.no_rank) << bits + 1
+        while True:
+            least = best.min(axis=0)
+            going = least < end
+            left = np.count_nonzero(going)
+            if left <= 0.7 * n:
+                self._done(sym[:, ~going], chosen[~going], out)
+                if not left:
+                    return
+                sym, best, up, down = (np.compress(going, x, axis=1) for x in (sym, best, up, down))  # in row order, so that reshape makes views
+                chosen, least, n = chosen[going], least[going], left
+                columns = np.arange(n)
+            else:
+                columns = np.flatnonzero(going)
+                least = least[columns]
+            flat_sym, flat_best, flat_up, flat_down = (x.reshape(-1) for x in (sym, best, up, down))
+            row = least & (2 << bits) - 1
+            new = self.into[least >> bits + 1]
+            here = row * n + columns
+            gone = flat_down[here].astype(np.int64) * n + columns
+            below_row = flat_down[gone]
+            below, above_row = below_row.astype(np.int64) * n + columns, flat_up[here]
+            above = above_row.astype(np.int64) * n + columns
+            flat_sym[here], flat_sym[gone] = new, self.none
+            flat_best[gone] = end
+            flat_down[here], flat_up[below] = below_row, row
+            ranks = self._ranks(np.concatenate([new, flat_sym[above]]), np.concatenate([flat_sym[below], new])).astype(np.int64) << bits + 1
+            flat_best[here], flat_best[above] = ranks[: len(row)] | row, ranks[len(row) :] | above_row
+
+    def _done(self, sym: np.ndarray, chosen: np.ndarray, out: list[bytes]) -> None:
+        sym = np.ascontiguousarray(sym.T)
+        held = sym != self.none
+        ids = sym[held].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.count_nonzero(held, axis=1))).tolist()
+        for w, b, e in zip(chosen.tolist(), [0, *ends[:-1]], ends, strict=True):
+            out[w] = ids[b:e]
+
 
 class ByteBpe:
     """Encodes texts to unsigned 32-bit little-endian ids."""
@@ -83,6 +223,16 @@ class ByteBpe:
         self.first = _Cache(lambda part: (self._chunk(part), len(part) <= CACHE_CHARS), CACHE_FIRST)  # parts that no space stands before
         self.words = _Cache(self._word, CACHE_WORDS)  # words after a space, which is left out of the key
         self.newline = self._library("\n")
+        self.merges = self._merges()
+
+    def _merges(self) -> Merges | None:
+        """The model's merges; none if it has more rules than these, so that each part goes through the library."""
+        model = json.loads(self.tokenizer.to_str())["model"]
+        more = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        if any(model.get(x) for x in more) or not model["vocab"].keys() >= set(self.letters.values()):
+            return None
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        return Merges(model["vocab"], pairs, self.letters)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -96,6 +246,8 @@ class ByteBpe:
 
     def _word(self, word: str) -> tuple[bytes, bool]:
         keep = len(word) <= CACHE_CHARS
+        if word[0] == "\n":  # a line end before the word in place of a space
+            return self.newline + self.first[word[1:]], keep
         if not keep or not word.isascii() and max(word) >= "ɐ":
             return self._chunk(" " + word), keep
         if word.isalpha():
@@ -116,24 +268,54 @@ class ByteBpe:
         words, first = self.words, self.first
         return b"".join([words[p[1:]] if p[0] == " " and not p.isspace() else first[p] for p in parts])
 
+    def _plan(self, text: str | None) -> list[str] | None:
+        """The words of a text with one space or one line end between any two; a line end stays before its word."""
+        if not text or any(t in text for t in self.added):
+            return None
+        words = text.split()
+        lines = "\n" in text
+        if " ".join(words) != (text.replace("\n", " ") if lines else text):
+            return None
+        return text.replace("\n", " \n").split(" ") if lines else words
+
+    def _from_plan(self, plan: list[str]) -> bytes:
+        return self.first[plan[0]] + b"".join(map(self.words.__getitem__, plan[1:]))
+
     def encode_one(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(t in text for t in self.added):  # their places come before all splitting
             return self._library(text)
-        words = text.split()
-        gaps = len(words) - 1
-        if gaps < 0 or sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
-            return self._joined(_CHUNK.findall(text))
-        out = []
-        for line in text.split("\n"):  # one space or one line end between any two words
-            head, *rest = line.split(" ")
-            out.append(self.first[head] + b"".join(map(self.words.__getitem__, rest)))
-        return self.newline.join(out)
+        plan = self._plan(text)
+        return self._joined(_CHUNK.findall(text)) if plan is None else self._from_plan(plan)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty and has none."""
-        return [self.encode_one(t) for t in texts]
+        out, begin, total = [], 0, 0
+        for i, text in enumerate(texts):
+            n = len(text or "")
+            if i > begin and total + n > GROUP_CHARS:
+                out += self._group(texts[begin:i])
+                begin, total = i, 0
+            total += n
+        return out + self._group(texts[begin:])
+
+    def _group(self, texts: Sequence[str | None]) -> list[bytes]:
+        plans, words, first = [self._plan(t) for t in texts], self.words, self.first
+        brief = {}  # words with signs after them, for this group only: those without are kept
+        if self.merges:
+            new = set().union(*[p[1:] for p in plans if p]).difference(words)
+            plain = _PLAIN.findall(f" {' '.join(new)} ")
+            signed = [w for w in plain if not w[-1].isalpha()]
+            stems = [w.rstrip(_SIGNS) for w in signed]
+            words.add(set(plain).difference(signed).union(stems), self.merges.ids)
+            brief = {w: words[stem] + first[w[len(stem) :]] for w, stem in zip(signed, stems, strict=True)}
+            words.update(brief)
+        out = [self.encode_one(t) if p is None else self._from_plan(p) for t, p in zip(texts, plans, strict=True)]
+        for w in brief:
+            words.pop(w, None)
+            words.old.pop(w, None)
+        return out
 
 
 def byte_bpe(path: str) -> ByteBpe:

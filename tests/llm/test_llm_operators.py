@@ -48,6 +48,55 @@ def test_byte_bpe_is_the_library():
         assert np.frombuffer(own.encode_one(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_bpe_merges_new_words_together():
+    t, own = library(), tokens.ByteBpe(tokens.default_vocabulary("byte_bpe_50k.json"))
+    some = [*texts(2000, 11, "abenrst  é", 200), "Hend. hend&&& (b) a'c d12\nÊlevi, x\nend", "  a  b", "<|endoftext|> a b", None, "", "ß" * 32 + " " + "ñ" * 33 + " " + "xy" * 40]
+    some += [" ".join(x.split()) for x in texts(2000, 12, "aeinort ,;$é'1\n", 300)]
+    alone, piece = [], own._piece
+    own._piece = lambda p: (alone.append(p), piece(p))[1]
+    for text, ids in zip(some, own.encode(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+    words = [f"{a}{b}" for a in ("Hend", "lyß", "éren", "x") for b in texts(300, 14, "aeinrsté", 20)]
+    assert own.encode_one("a " + " ".join(words)) == own.encode(["a " + " ".join(words)])[0]
+    alone.clear()
+    own.words.clear()
+    own.words.old.clear()
+    own.encode(["a " + ", ".join(words)])
+    assert len(alone) <= 2  # not word by word
+
+
+def test_byte_bpe_groups_with_full_caches(monkeypatch):
+    some = [" ".join(x.split()) for x in texts(600, 13, "abé  ,.&'\n", 60)]
+    t = library()
+    for most, chars in ((3, 1 << 20), (40, 200), (400, 1000)):
+        monkeypatch.setattr(tokens, "CACHE_WORDS", most)
+        monkeypatch.setattr(tokens, "GROUP_CHARS", chars)
+        own = tokens.ByteBpe(tokens.default_vocabulary("byte_bpe_50k.json"))
+        for text, ids in zip([*some, *some], own.encode([*some, *some]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert max(len(own.words), len(own.words.old)) <= most
+
+
+def test_merges_of_any_order_are_the_library():
+    from tokenizers import models
+
+    rng, letters = random.Random(5), tokens._byte_letters()
+    for size in (0, 3, 60, 400):
+        vocab, merges = {c: i for i, c in enumerate(letters.values())}, []
+        known = [letters[b] for b in b" abc"]
+        while len(merges) < size:
+            a, b = rng.choice(known), rng.choice(known)
+            if (a, b) not in merges and len(a + b) < 9:
+                merges.append((a, b))
+                vocab.setdefault(a + b, len(vocab))
+                known.append(a + b)
+        rng.shuffle(merges)  # so that a long piece may come before its parts
+        model, own = models.BPE(vocab, merges), tokens.Merges(vocab, merges, letters)
+        words = [w for w in set(texts(800, size, "abc", 30)) if w]
+        for word, ids in zip(words, own.ids(words), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [x.id for x in model.tokenize(letters[32] + word)]
+
+
 def test_byte_bpe_with_marks_and_full_caches(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
     monkeypatch.setattr(tokens, "CACHE_FIRST", 2)
