@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
         for part in slices(batches):
             if writer is None:
                 writer = ShardWriter(fs, f"{local}.arrow", length, width)
-            for ids in encoder.encode(part.column("text").to_pylist()):
+            for ids in encoder.encode(part.column("text")):
                 ids = np.frombuffer(ids + end, "<u4")
                 counts.append(len(ids))
                 writer.add(ids)

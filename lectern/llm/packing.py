@@ -101,7 +101,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         for part in slices(batches):
             full = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n - capacity + 1, capacity):

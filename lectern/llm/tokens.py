@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole texts, as the tokenizers library gives them, with repeated words encoded once per worker.
 
-A text is cut where the vocabulary's own splitting pattern always cuts, each different part is encoded once, and the ids
-are put together again. New words of letters, most of all new parts, go through the vocabulary's merges together in numpy;
-the others go through the library. The result is that of encoding the whole text; only repeats are spared.
+A group of texts is cut into the pieces of the vocabulary's own splitting pattern in numpy, by the classes of its bytes. A
+table gives the ids of pieces met before, new ones go through the vocabulary's merges together, and the ids are gathered.
+Words with characters whose classes may change, or with an apostrophe, go through the library, and so do texts with white
+space beyond ASCII, cut where the pattern always cuts. The result is that of encoding the whole text; only repeats are spared.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
 
 from .common import kept
 
@@ -25,19 +28,41 @@ _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The splitting pattern for characters below U+0250, whose classes never change. Fixed values.
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: White space beyond ASCII, as in _SPACE.
+_WHITE_POINTS = [ord(c) for c in (*"\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))]
 #: Marks that stay a piece of their own after a word of letters.
 _MARKS = frozenset(",.;:!?")
-#: Signs below U+0080, without the apostrophe, which after letters form a piece of their own.
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What a worker keeps at most: two generations of parts, some 200 bytes each. A part longer than CACHE_CHARS is encoded
 #: each time.
 CACHE_WORDS, CACHE_FIRST, CACHE_CHARS = 87_000, 10_000, 64
-#: Among words between spaces, those of letters of fixed classes, perhaps with signs after them.
-_PLAIN = re.compile(rf"(?<= )[{_LETTER}]{{1,{CACHE_CHARS // 2}}}+[{re.escape(_SIGNS)}]{{0,{CACHE_CHARS // 2}}}+(?= )")
-#: Characters of texts whose new words are merged together; a longer text goes alone.
+#: UTF-8 bytes of texts that are cut and merged together; a longer text goes alone.
 GROUP_CHARS = 1 << 20
+#: Slots of a worker's table of pieces (a power of two; some 50 bytes each), the bytes of a piece it has at most (two
+#: 64-bit numbers) and the ids. A new piece takes the place of the one in its slot. Other pieces are merged each time.
+TABLE_SLOTS, TABLE_BYTES, TABLE_IDS = 1 << 17, 16, 8
+#: Longer pieces than these bytes go through the library.
+MERGE_BYTES = 2 * CACHE_CHARS + 1
 #: Words are merged beside others of like length: at most so many bytes, a space included.
-_WIDTHS = (7, 10, 14, 20, 32, 2 * CACHE_CHARS + 1)
+_WIDTHS = (7, 10, 14, 20, 32, MERGE_BYTES)
+#: Classes of bytes. Those of U+00C0 to U+024F, save three of which two are signs, are all of letters.
+_IS_LETTER, _IS_NUMBER, _IS_SIGN, _IS_ODD, _IS_SPACE, _IS_WHITE = range(6)
+#: For the bytes of a piece that are part of a key: all bits of so many bytes.
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(TABLE_BYTES + 1)], np.uint64)
+_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(TABLE_BYTES + 1)], np.uint64)
+
+
+def _byte_class(b: int) -> int:
+    if b == 32:
+        return _IS_SPACE
+    if 9 <= b <= 13:
+        return _IS_WHITE
+    if b >= 0x80:  # two-byte characters up to U+024F; bytes within characters go with what begins them
+        return _IS_LETTER if b < 0xC0 or 0xC3 <= b <= 0xC9 else _IS_ODD
+    c = chr(b)
+    return _IS_LETTER if c.isalpha() else _IS_NUMBER if c.isdigit() else _IS_ODD if b < 32 or c in "'\x7f" else _IS_SIGN
+
+
+_CLASSES = bytes(map(_byte_class, range(256)))
 
 
 def default_vocabulary(name: str) -> str:
@@ -81,21 +106,6 @@ class _Cache(dict):
         self.old = dict(self)
         self.clear()
 
-    def add(self, parts: set[str], make_all) -> None:
-        """Makes these parts young; `make_all` encodes those that are in neither generation. Does nothing if they are more
-        than a generation holds."""
-        new = parts.difference(self)
-        if len(self) + len(new) > self.most:
-            if len(parts) > self.most:
-                return
-            self._age()
-            new = parts
-        known = {p: ids for p, ids in zip(new, map(self.old.get, new), strict=True) if ids is not None}
-        self.update(known)
-        new = list(new.difference(known))
-        if new:
-            self.update(zip(new, make_all(new), strict=True))
-
 
 class Merges:
     """The merges of a byte-level BPE model, for many words side by side.
@@ -146,22 +156,32 @@ class Merges:
 
     def ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word after a space; each word is one piece of the splitting pattern."""
-        data = np.frombuffer(" ".join(["", *words]).encode(), np.uint8).astype(np.int32)
+        data = np.frombuffer(" ".join(["", *words]).encode(), np.uint8)
         begins = np.flatnonzero(data == 32)
-        sizes = np.diff(np.append(begins, len(data)))
-        out: list[bytes] = [b""] * len(words)
-        least = 0
+        ids, starts, counts = self.spans(data, begins, np.diff(np.append(begins, len(data))))
+        raw = ids.tobytes()
+        return [raw[4 * b : 4 * (b + n)] for b, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+
+    def spans(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places of UTF-8 data: all ids, and for each piece its first one's place there and
+        their number."""
+        starts, counts = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        out: list[np.ndarray] = []
+        least = total = 0
         for most in (*_WIDTHS, max(_WIDTHS[-1], int(sizes.max(initial=0)))):
             chosen = np.flatnonzero((sizes > least) & (sizes <= most))
             least = most
             if len(chosen):
                 rows = np.arange(min(most, int(sizes[chosen].max())))[:, None]
-                held = rows < sizes[chosen]
-                codes = np.where(held, data[np.minimum(begins[chosen] + rows, len(data) - 1)], 256)
-                self._block(codes, chosen, out)
-        return out
-
-    def _block(self, codes: np.ndarray, chosen: np.ndarray, out: list[bytes]) -> None:
+                codes = np.where(rows < sizes[chosen], data[np.minimum(begins[chosen] + rows, len(data) - 1)].astype(np.int32), 256)
+                for ids, n, which in self._block(codes, chosen):
+                    starts[which], counts[which] = total + np.cumsum(n) - n, n
+                    out.append(ids)
+                    total += len(ids)
+        return np.concatenate(out) if out else np.zeros(0, "<u4"), starts, counts
+
+    def _block(self, codes: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The words in the columns of codes (bytes, or 256 for none) as they are done: ids, their number by word, which."""
         height, n = codes.shape
         bits = height.bit_length()
         none = np.full((1, n), self.none, np.int32)
@@ -177,7 +197,7 @@ class Merges:
             going = least < end
             left = np.count_nonzero(going)
             if left <= 0.7 * n:
-                self._done(sym[:, ~going], chosen[~going], out)
+                yield (*self._done(sym[:, ~going]), chosen[~going])
                 if not left:
                     return
                 sym, best, up, down = (np.compress(going, x, axis=1) for x in (sym, best, up, down))  # in row order, so that reshape makes views
@@ -200,13 +220,45 @@ class Merges:
             ranks = self._ranks(np.concatenate([new, flat_sym[above]]), np.concatenate([flat_sym[below], new])).astype(np.int64) << bits + 1
             flat_best[here], flat_best[above] = ranks[: len(row)] | row, ranks[len(row) :] | above_row
 
-    def _done(self, sym: np.ndarray, chosen: np.ndarray, out: list[bytes]) -> None:
+    def _done(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sym = np.ascontiguousarray(sym.T)
         held = sym != self.none
-        ids = sym[held].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.count_nonzero(held, axis=1))).tolist()
-        for w, b, e in zip(chosen.tolist(), [0, *ends[:-1]], ends, strict=True):
-            out[w] = ids[b:e]
+        return sym[held].astype("<u4"), np.count_nonzero(held, axis=1)
+
+
+class PieceTable:
+    """Ids of pieces met before, by the bytes of a piece as two numbers. Each piece has one slot it can be in."""
+
+    def __init__(self, slots: int):
+        self.shift = np.uint64(65 - slots.bit_length())
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)  # 0: empty, as no piece here has a byte 0
+        self.counts = np.zeros(slots, np.int64)
+        self.ids = np.zeros(slots * TABLE_IDS, "<u4")
+
+    @staticmethod
+    def hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(31)
+        return mixed * np.uint64(0xD6E8FEB86659FD93)
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> self.shift).astype(np.int64)
+
+    def put(self, slots: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """Different pieces, with their ids in `ids`; of several for one slot one is kept, and none with too many ids."""
+        few = np.flatnonzero(counts <= TABLE_IDS)
+        few = few[np.unique(slots[few], return_index=True)[1]]
+        slots, starts, counts = slots[few], starts[few], counts[few]
+        self.low[slots], self.high[slots], self.counts[slots] = low[few], high[few], counts
+        places = np.arange(TABLE_IDS)
+        self.ids.reshape(-1, TABLE_IDS)[slots] = ids[np.minimum(starts[:, None] + places, len(ids) - 1)]
+
+
+def _joined_spans(sources: list[np.ndarray], which: np.ndarray, starts: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The runs of `counts` entries from `starts` of source number `which`, one after another; `ends` are their sums."""
+    base = np.cumsum([0, *map(len, sources)])
+    pool = np.concatenate(sources)
+    return pool[np.repeat(starts + base[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class ByteBpe:
@@ -224,6 +276,7 @@ class ByteBpe:
         self.words = _Cache(self._word, CACHE_WORDS)  # words after a space, which is left out of the key
         self.newline = self._library("\n")
         self.merges = self._merges()
+        self.table = PieceTable(TABLE_SLOTS)
 
     def _merges(self) -> Merges | None:
         """The model's merges; none if it has more rules than these, so that each part goes through the library."""
@@ -289,34 +342,127 @@ class ByteBpe:
         plan = self._plan(text)
         return self._joined(_CHUNK.findall(text)) if plan is None else self._from_plan(plan)
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text; a null text counts as empty and has none."""
-        out, begin, total = [], 0, 0
-        for i, text in enumerate(texts):
-            n = len(text or "")
-            if i > begin and total + n > GROUP_CHARS:
-                out += self._group(texts[begin:i])
-                begin, total = i, 0
-            total += n
-        return out + self._group(texts[begin:])
-
-    def _group(self, texts: Sequence[str | None]) -> list[bytes]:
-        plans, words, first = [self._plan(t) for t in texts], self.words, self.first
-        brief = {}  # words with signs after them, for this group only: those without are kept
-        if self.merges:
-            new = set().union(*[p[1:] for p in plans if p]).difference(words)
-            plain = _PLAIN.findall(f" {' '.join(new)} ")
-            signed = [w for w in plain if not w[-1].isalpha()]
-            stems = [w.rstrip(_SIGNS) for w in signed]
-            words.add(set(plain).difference(signed).union(stems), self.merges.ids)
-            brief = {w: words[stem] + first[w[len(stem) :]] for w, stem in zip(signed, stems, strict=True)}
-            words.update(brief)
-        out = [self.encode_one(t) if p is None else self._from_plan(p) for t, p in zip(texts, plans, strict=True)]
-        for w in brief:
-            words.pop(w, None)
-            words.old.pop(w, None)
+        if not self.merges:
+            return [self.encode_one(t) for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, offsets, data = texts.buffers()
+        if not data:
+            return [b""] * len(texts)
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8)
+        out, begin = [], 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + GROUP_CHARS, "right")) - 1)
+            out += self._group(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+            begin = end
         return out
 
+    def _apart(self, data: np.ndarray, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """Which of the texts have white space beyond ASCII, or one of the vocabulary's added tokens."""
+        found = []
+        leads = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+        if len(leads):
+            one, two, three = (data[np.minimum(leads + i, len(data) - 1)].astype(np.int64) for i in range(3))
+            points = np.where(one == 0xC2, two, (one & 15) << 12 | (two & 63) << 6 | three & 63)
+            found.append(leads[np.isin(points, _WHITE_POINTS)])
+        apart = set(np.searchsorted(offsets, np.concatenate(found), "right").tolist()) if found else set()
+        apart = {i - 1 for i in apart}
+        for token in self.added:
+            if (t := token.encode()) in raw:
+                apart |= {i for i, (b, e) in enumerate(pairwise(offsets.tolist())) if t in raw[b:e]}
+        return sorted(apart)
+
+    def _cut(self, data: np.ndarray, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """Where the pieces of these texts begin, which of them are odd (more than one piece of the pattern, perhaps), and
+        the places where texts begin that are left whole."""
+        n = len(data)
+        classes = np.frombuffer(bytearray(raw + b"\n").translate(_CLASSES), np.uint8)  # one more at the end
+        starts = np.zeros(n + 1, bool)
+        starts[offsets] = True
+        if not raw.isascii():
+            pairs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC9) & (data[1:] >= 0x90))
+            classes[pairs] = _IS_ODD
+        odd = np.flatnonzero(classes == _IS_ODD)
+        whole = set()
+        if len(odd):  # an odd byte makes its whole word odd
+            breaks = np.flatnonzero((classes >= _IS_SPACE) | starts)
+            words = np.unique(np.searchsorted(breaks, odd, "right")) - 1
+            inside = np.zeros(n + 1, np.int8)
+            inside[breaks[words] + (classes[breaks[words]] >= _IS_SPACE)] += 1
+            inside[breaks[words + 1]] -= 1
+            classes[np.cumsum(inside, dtype=np.int8).view(bool)] = _IS_ODD
+        for i in self._apart(data, raw, offsets):
+            b, e = offsets[i : i + 2].tolist()
+            classes[b:e] = _IS_ODD
+            whole.add(b)
+        cuts = np.empty(n + 1, bool)
+        cuts[0] = True
+        np.not_equal(classes[1:], classes[:-1], out=cuts[1:])
+        white = np.flatnonzero(classes[:n] >= _IS_SPACE)
+        after = white[classes[white] == _IS_SPACE] + 1  # a space goes to what comes after it
+        cuts[after[classes[after] < _IS_SPACE]] = False
+        run = white[1:][np.diff(white) == 1]  # of several the last stays apart if something comes after it
+        cuts[run] = (classes[run + 1] < _IS_SPACE) & ~starts[run + 1]
+        cuts[offsets] = True
+        begins = np.flatnonzero(cuts[:n])
+        return begins, classes[np.append(begins[1:], n) - 1] == _IS_ODD, whole
+
+    def _odd(self, piece: str) -> bytes:
+        return self.words[piece[1:]] if piece[0] == " " and len(piece) > 1 else self.first[piece]
+
+    def _group(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of the texts in this UTF-8 data, which begin and end at these offsets."""
+        if not len(data):
+            return [b""] * (len(offsets) - 1)
+        raw = data.tobytes()
+        begins, odd, whole = self._cut(data, raw, offsets)
+        sizes = np.diff(np.append(begins, len(data)))
+        # sources of ids: the table, this group's merges, the library
+        which = np.zeros(len(begins), np.int8)
+        padded = np.frombuffer(raw + bytes(TABLE_BYTES), np.uint8)
+        eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+        held = np.minimum(sizes, TABLE_BYTES)
+        low, high = eight[begins] & _LOW[held], eight[begins + 8] & _HIGH[held]
+        hashes, table = PieceTable.hashes(low, high), self.table
+        slots = table.slots(hashes)
+        short = (sizes <= TABLE_BYTES) & ~odd
+        known = (table.low[slots] == low) & (table.high[slots] == high) & short
+        starts, counts = slots * TABLE_IDS, table.counts[slots]
+        # new short pieces once each, and long ones
+        new = np.flatnonzero(short & ~known)
+        first, same = np.unique(hashes[new], return_index=True, return_inverse=True)[1:]
+        first = new[first]
+        clash = (low[first[same]] != low[new]) | (high[first[same]] != high[new])  # equal hashes of different pieces
+        long = np.flatnonzero(~short & ~odd & (sizes <= MERGE_BYTES))
+        seen: dict[bytes, int] = {}
+        long_same = [seen.setdefault(raw[b:e], len(seen)) for b, e in zip(begins[long].tolist(), (begins + sizes)[long].tolist(), strict=True)]
+        long_first = long[np.unique(np.array(long_same, np.int64), return_index=True)[1]]
+        made = np.concatenate([first, long_first])
+        ids, its_starts, its_counts = self.merges.spans(data, begins[made], sizes[made])
+        for pieces, number in ((new, same), (long, np.array(long_same, np.int64) + len(first))):
+            which[pieces], starts[pieces], counts[pieces] = 1, its_starts[number], its_counts[number]
+        # the others one by one
+        rest = np.concatenate([np.flatnonzero(odd | (sizes > MERGE_BYTES)), new[clash]])
+        numbers: dict[bytes, int] = {}
+        parts: list[bytes] = []
+        number: list[int] = []
+        for b, e in zip(begins[rest].tolist(), (begins + sizes)[rest].tolist(), strict=True):
+            piece = raw[b:e]
+            number.append(numbers.setdefault(piece, len(parts)))
+            if number[-1] == len(parts):
+                parts.append(self.encode_one(piece.decode()) if b in whole else self._odd(piece.decode()))
+        part_counts = np.array([len(p) // 4 for p in parts], np.int64)
+        which[rest], starts[rest], counts[rest] = 2, (np.cumsum(part_counts) - part_counts)[number], part_counts[number]
+        ends = np.cumsum(counts)
+        out = _joined_spans([table.ids, ids, np.frombuffer(b"".join(parts), "<u4")], which, starts, counts, ends).tobytes()
+        if len(first):
+            table.put(slots[first], low[first], high[first], ids, its_starts[: len(first)], its_counts[: len(first)])
+        at = (4 * np.append(0, ends))[np.searchsorted(begins, offsets)].tolist()
+        return [out[b:e] for b, e in pairwise(at)]
+
 
 def byte_bpe(path: str) -> ByteBpe:
     """The worker's encoder for a vocabulary file, kept between tasks."""

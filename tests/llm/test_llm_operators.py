@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,31 @@ def test_byte_bpe_groups_with_full_caches(monkeypatch):
         assert max(len(own.words), len(own.words.old)) <= most
 
 
+def test_byte_bpe_takes_plain_words_from_its_table():
+    own = tokens.ByteBpe(tokens.default_vocabulary("byte_bpe_50k.json"))
+    some = [f"{a}, {b} ({c})\n12 {d}." for a, b, c, d in zip(*(iter(texts(400, 15, "aeinrstéß", 6)),) * 4, strict=True)]
+    ids, merged, spans = own.encode(pa.array(some)), [], own.merges.spans
+    own.merges.spans = lambda data, begins, sizes: (merged.append(len(begins)), spans(data, begins, sizes))[1]
+    assert own.encode(some) == ids
+    assert sum(merged) <= 4  # those that share a slot
+    assert not own.words and not own.first  # no word goes through Python alone
+
+
+def test_byte_bpe_cuts_odd_groups_as_the_library(monkeypatch):
+    t = library()
+    alphabets = ["ab  \n\n\t\r\x0b\x0c1.'", "é×÷ÿÀ \u0250\u024fab", "a\x00\x01\x1c\x1f\x7f \n'", "ab\xa0\x85\u1680\u2003\u200b\u2010\u2028\u3000 x", "日本語 abc。привет \u0301e", "µªº²¼½ a1'st've"]
+    some = [x for i, a in enumerate(alphabets) for x in (*texts(300, 16 + i, a, 30), "")]
+    some += ["<|endof", "text|> a", "a <|endoftext|> b", None, " " * 300 + "a", "é" * 200, "a" + "\n" * 140, " " + "b" * 15, "b" * 17]
+    random.Random(16).shuffle(some)
+    expected = [t.encode(x or "", add_special_tokens=False).ids for x in some]
+    for slots, size in ((1 << 17, 1 << 20), (2, 300)):
+        monkeypatch.setattr(tokens, "TABLE_SLOTS", slots)
+        monkeypatch.setattr(tokens, "GROUP_CHARS", size)
+        own = tokens.ByteBpe(tokens.default_vocabulary("byte_bpe_50k.json"))
+        for given in (some, pa.array(["x", *some])[1:]):
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode(given)] == expected
+
+
 def test_merges_of_any_order_are_the_library():
     from tokenizers import models
 
